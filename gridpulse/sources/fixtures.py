@@ -227,7 +227,22 @@ complaints AS (
 )"""
 
 
-def with_facts(*ctes: str, select: str) -> str:
+class OracleSQL(str):
+    """SQL text that also remembers its extra CTEs and final SELECT, so a
+    summary oracle can be embedded as a CTE of a dashboard oracle."""
+    ctes: tuple = ()
+    select: str = ""
+
+
+def with_facts(*ctes: str, select: str) -> OracleSQL:
     """Build a self-contained oracle: binding CTEs, extra CTEs, final SELECT."""
     parts = [METERS_SQL.strip(), COMPLAINTS_SQL.strip()] + [c.strip() for c in ctes]
-    return "WITH " + ",\n".join(parts) + "\n" + select.strip()
+    out = OracleSQL("WITH " + ",\n".join(parts) + "\n" + select.strip())
+    out.ctes = tuple(c.strip() for c in ctes)
+    out.select = select.strip()
+    return out
+
+
+def as_ctes(name: str, oracle: OracleSQL) -> list[str]:
+    """The CTEs needed to use ``oracle``'s result under the name ``name``."""
+    return list(oracle.ctes) + [f"{name} AS (\n{oracle.select}\n)"]
