@@ -164,10 +164,23 @@ def max_(x: E) -> E:
 
 # ---- post-aggregation arithmetic -------------------------------------------
 
+def r2_col(x):
+    """Round to 2 decimals on the binary value, ties away from zero, written as
+    plain IEEE arithmetic so every engine gives the same double."""
+    a = F.abs(x)
+    r = F.floor(a * F.lit(100.0) + F.lit(0.5)).cast("double") / F.lit(100.0)
+    return F.when(x < 0, -r).otherwise(r)
+
+
+def r2_sql(x: str) -> str:
+    return (f"(CASE WHEN ({x}) < 0 THEN -1 ELSE 1 END * "
+            f"CAST(floor(abs({x}) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST(100 AS DOUBLE))")
+
+
 def pct2(num: E, den: E) -> E:
     """round(num/den*100, 2) if den > 0 else 0."""
-    return E(lambda: F.when(den.col > 0, F.round(num.col.cast("double") / den.col.cast("double") * 100, 2)).otherwise(F.lit(0.0)),
-             f"CASE WHEN {den.sql} > 0 THEN round(CAST({num.sql} AS DOUBLE) / CAST({den.sql} AS DOUBLE) * 100, 2) "
+    return E(lambda: F.when(den.col > 0, r2_col(num.col.cast("double") / den.col.cast("double") * 100)).otherwise(F.lit(0.0)),
+             f"CASE WHEN {den.sql} > 0 THEN {r2_sql(f'CAST({num.sql} AS DOUBLE) / CAST({den.sql} AS DOUBLE) * 100')} "
              f"ELSE CAST(0 AS DOUBLE) END")
 
 
@@ -178,8 +191,8 @@ def clamp0(a: E, b: E) -> E:
 
 
 def round2(x: E) -> E:
-    return E(lambda: F.coalesce(F.round(x.col.cast("double"), 2), F.lit(0.0)),
-             f"COALESCE(round(CAST({x.sql} AS DOUBLE), 2), CAST(0 AS DOUBLE))")
+    return E(lambda: F.coalesce(r2_col(x.col.cast("double")), F.lit(0.0)),
+             f"COALESCE({r2_sql(f'CAST({x.sql} AS DOUBLE)')}, CAST(0 AS DOUBLE))")
 
 
 def ceil_days(x: E) -> E:

@@ -85,12 +85,12 @@ def performers(base: str, where, *, day: str, who: str, measure: str) -> Plan:
         low = (s.join(ext, s["_avg"] == ext["lo"]).agg(F.max(who).alias("name"), F.min("_avg").alias("v"))
                .select(F.lit("lowest").alias("position"), "name", "v"))
         return (top.unionByName(low).where(F.col("name").isNotNull())
-                .select("position", "name", F.round("v", 2).alias("productivity_per_technician_per_day")))
+                .select("position", "name", D.r2_col(F.col("v")).alias("productivity_per_technician_per_day")))
 
     def sq(n):
         src = scored.sql(n)
         w = D.q(who)
-        return f"""SELECT position, name, round(v, 2) AS productivity_per_technician_per_day FROM (
+        return f"""SELECT position, name, {D.r2_sql('v')} AS productivity_per_technician_per_day FROM (
   SELECT 'top' AS position, MIN({w}) AS name, MAX(_avg) AS v FROM ({src}) s
    WHERE _avg = (SELECT MAX(_avg) FROM ({src}) s2)
   UNION ALL

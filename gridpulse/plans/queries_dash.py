@@ -88,3 +88,22 @@ reg_plan("q16_stage_cards_all", QM.q16_stage_cards_all())
 reg_plan("q17_region_monthly", QM.q17_region_monthly("asia"))
 reg_dash("q34_sat_invoice_combined", {"summary": QM.q11_sat_invoice(F0, combined_invoice=True)["summary"]})
 
+
+# O&M ---------------------------------------------------------------------------
+from . import dashboards_om as QO  # noqa: E402
+
+reg_dash("q18_team_productivity", QO.q18_team_productivity(F0))
+reg_dash("q18_team_productivity_asia_weekly", {k: v for k, v in QO.q18_team_productivity(
+    F0.with_(project="asia", duration="weekly", level="zone", category="dt")).items() if k != "insights"})
+reg_dash("q19_productivity_trend", QO.q19_productivity_trend(F0))
+reg_plan("q20_open_tickets_page", QO.q20_open_tickets(Filters(limit=100, offset=50)))
+reg_dash("q21_open_ageing", QO.q21_open_ageing(F0))
+reg_dash("q21_open_ageing_dated", {k: v for k, v in QO.q21_open_ageing(
+    F0.with_(level="circle", duration="weekly", start_date="2023-10-01", end_date="2023-12-15")).items()
+    if k in ("summary", "trend", "comparison")})
+reg_plan("q22_closure_list_page", QO.q22_closure_list(Filters(limit=200, offset=10)))
+reg_dash("q23_closure_time", QO.q23_closure_time(F0))
+reg_dash("q23_closure_time_consumer_daily", QO.q23_closure_time(F0.with_(category="consumer", duration="daily", level="zone")))
+reg_dash("q24_closed_analysis", QO.q24_closed_analysis(F0))
+reg_dash("q24_closed_analysis_monthly", QO.q24_closed_analysis(F0.with_(duration="monthly", project="africa", level="division")))
+reg_plan("q32_open_and_closure", QO.q32_open_and_closure(F0))
