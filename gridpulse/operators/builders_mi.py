@@ -44,13 +44,16 @@ def _finish(df: DataFrame, label=label_ddmmyy) -> DataFrame:
 
 # A1 -------------------------------------------------------------------------
 def mi_progress(meters: DataFrame) -> DataFrame:
-    """A1: verified installations by MIDIM (raw project) x daily/weekly/monthly of mi_date."""
-    daily = (meters.where(P.verified_installation())
-             .select(*_dims(False), F.col("mi_date").alias("d"))
-             .groupBy(*C.MIDIM, "d").agg(F.count(F.lit(1)).alias("n")))
-    out = (explode_grains(daily, "d")
+    """A1: verified installations by MIDIM (raw project) x daily/weekly/monthly of mi_date.
+
+    Explode-first: every row is tagged with its three period starts and one
+    groupBy counts all grains (one scan, one shuffle; the map-side partial
+    aggregate combines each grain before the exchange)."""
+    rows = (meters.where(P.verified_installation())
+            .select(*_dims(False), F.col("mi_date").alias("d")))
+    out = (explode_grains(rows, "d")
            .groupBy(*C.MIDIM, "period_type", "period_start")
-           .agg(F.sum("n").alias("total_mi_progress")))
+           .agg(F.count(F.lit(1)).alias("total_mi_progress")))
     return _finish(out).select(*C.MIDIM, "period_type", "period_value", "period_start", "total_mi_progress")
 
 
@@ -76,16 +79,16 @@ def inventory_utilization(meters: DataFrame) -> DataFrame:
 
     weekly: raw project, week of mi_date; monthly/daily: normalised project,
     COALESCE(didate, mi_date). No row filter, so a null period group exists.
-    One scan: every row is tagged into the weekly branch and the daily branch
-    (explode of two structs), aggregated in one shuffle; monthly is rolled up
-    from the (small) daily result.
+    One scan and one shuffle: every row is tagged into the three branches
+    (explode of three structs) and aggregated by a single groupBy.
     """
     inst = P.verified_installation()
+    basis = F.coalesce(F.col("didate"), F.col("mi_date"))
     branches = F.array(
         F.struct(F.lit("weekly").alias("b"), F.col("project").alias("proj"),
                  F.trunc(F.col("mi_date"), "week").alias("d")),
-        F.struct(F.lit("daily").alias("b"), X.norm_upper("project").alias("proj"),
-                 F.coalesce(F.col("didate"), F.col("mi_date")).alias("d")),
+        F.struct(F.lit("monthly").alias("b"), X.norm_upper("project").alias("proj"), F.trunc(basis, "month").alias("d")),
+        F.struct(F.lit("daily").alias("b"), X.norm_upper("project").alias("proj"), basis.alias("d")),
     )
     rows = meters.select(*[F.col(g) for g in GEO], F.col("metertype").alias("new_meter_type"),
                          X.meter_category().alias("meter_category"), inst.alias("_inst"),
@@ -93,12 +96,7 @@ def inventory_utilization(meters: DataFrame) -> DataFrame:
     agg = (rows.groupBy(F.col("_b.b").alias("period_type"), F.col("_b.proj").alias("project"),
                         *GEO, "new_meter_type", "meter_category", F.col("_b.d").alias("period_start"))
            .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_inst")).alias("inst")))
-    monthly = (agg.where(F.col("period_type") == "daily")
-               .groupBy(*C.MIDIM, F.trunc("period_start", "month").alias("period_start"))
-               .agg(F.sum("n").alias("n"), F.sum("inst").alias("inst"))
-               .withColumn("period_type", F.lit("monthly")))
-    allp = agg.unionByName(monthly)
-    return _finish(allp).select(*C.MIDIM, "period_type", "period_value", "period_start", *_inventory_measures())
+    return _finish(agg).select(*C.MIDIM, "period_type", "period_value", "period_start", *_inventory_measures())
 
 
 # A5 -------------------------------------------------------------------------
@@ -176,16 +174,13 @@ def meter_journey(meters: DataFrame) -> DataFrame:
     mean column equals AVG (nulls skipped). ``meter_count`` is COUNT(*).
     """
     diffs = [F.datediff(F.to_date(F.col(b)), F.to_date(F.col(a))).alias(n) for n, b, a in JOURNEY]
-    daily = (meters.where(P.journey_cohort())
-             .select(*_dims(False), F.col("pmpm_collection_date").alias("d"), *diffs)
-             .groupBy(*C.MIDIM, "d")
-             .agg(*[F.sum(n).cast("long").alias(f"{n}_sum") for n in JOURNEY_NAMES],
-                  *[F.count(n).alias(f"{n}_n") for n in JOURNEY_NAMES],
-                  F.count(F.lit(1)).alias("meter_count")))
-    sums = [f"{n}_sum" for n in JOURNEY_NAMES] + [f"{n}_n" for n in JOURNEY_NAMES] + ["meter_count"]
-    out = (explode_grains(daily, "d", ("weekly", "monthly", "daily"))
+    rows = (meters.where(P.journey_cohort())
+            .select(*_dims(False), F.col("pmpm_collection_date").alias("d"), *diffs))
+    out = (explode_grains(rows, "d", ("weekly", "monthly", "daily"))
            .groupBy(*C.MIDIM, "period_type", "period_start")
-           .agg(*[F.sum(s).alias(s) for s in sums]))
+           .agg(*[F.sum(n).cast("long").alias(f"{n}_sum") for n in JOURNEY_NAMES],
+                *[F.count(n).alias(f"{n}_n") for n in JOURNEY_NAMES],
+                F.count(F.lit(1)).alias("meter_count")))
     means = [F.when(F.col(f"{n}_n") > 0, F.col(f"{n}_sum").cast("double") / F.col(f"{n}_n").cast("double"))
              .alias(n) for n in JOURNEY_NAMES]
     return _finish(out).select(*C.MIDIM, "period_type", "period_value", "period_start", *means,

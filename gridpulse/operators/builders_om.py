@@ -66,8 +66,7 @@ def defective_meters(complaints: DataFrame, meters: DataFrame) -> DataFrame:
         F.coalesce("m_metertype", F.lit("Unknown")).alias("new_meter_type"),
         "defective_type", "d",
         (F.col("c_n") * F.coalesce(F.col("m_n"), F.lit(1))).alias("w"))
-    daily = rows.groupBy(*DEFECT_DIMS, "d").agg(F.sum("w").alias("w"))
-    out = (explode_grains(daily, "d")
+    out = (explode_grains(rows, "d")
            .groupBy(*DEFECT_DIMS, "period_type", "period_start")
            .agg(F.sum("w").alias("meter_count")))
     return (out.withColumn("period_value", label_ddmmyy("period_start"))
@@ -125,13 +124,12 @@ CLOSED_KEYS = C.OMDIM + ["complaint_type", "complaint_category", "complaint_by"]
 def om_closed_analysis(complaints: DataFrame) -> DataFrame:
     """Closed tickets by dims x type x category x source x daily/weekly/monthly
     of closed_date; ``closed_date`` holds the bucket start."""
-    daily = (complaints.where(P.closed_ticket())
-             .select(*_om_dims(), "complaint_type", "complaint_category", "complaint_by",
-                     F.to_date("closed_date").alias("d"))
-             .groupBy(*CLOSED_KEYS, "d").agg(F.count(F.lit(1)).alias("n")))
-    out = (explode_grains(daily, "d")
+    rows = (complaints.where(P.closed_ticket())
+            .select(*_om_dims(), "complaint_type", "complaint_category", "complaint_by",
+                    F.to_date("closed_date").alias("d")))
+    out = (explode_grains(rows, "d")
            .groupBy(*CLOSED_KEYS, "period_type", "period_start")
-           .agg(F.sum("n").alias("closed_tickets")))
+           .agg(F.count(F.lit(1)).alias("closed_tickets")))
     label = (F.when(F.col("period_type") == "monthly", F.date_format("period_start", "yyyy-MM"))
               .otherwise(F.date_format("period_start", "yyyy-MM-dd")))
     return out.select(*CLOSED_KEYS, "period_type", label.alias("period_value"), "closed_tickets",
