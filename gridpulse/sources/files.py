@@ -16,7 +16,7 @@ DEFAULT_DATE_FORMATS = ("yyyy-MM-dd", "dd-MM-yyyy")
 
 def parse_mixed_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
     """First format that parses wins; unparsable -> null (try_ under ANSI)."""
-    return F.coalesce(*[F.try_to_date(col(c), F.lit(fmt)) for fmt in formats])
+    return F.coalesce(*[F.try_to_date(col(c), fmt) for fmt in formats])
 
 
 def read_installation_staging(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
