@@ -149,8 +149,8 @@ def test_mean_of_daily_ratios_and_ties(spark):
                                      "technician string, total_installations long")
     sec = QM.q02_technician_productivity(Filters(project="asia"))
     s = sec["summary"].spark({"a02": df}).collect()[0]
-    # day1: 4/2, day2: 3/2, day3: 1/1 -> mean 1.67 (a ratio of totals would give 8/5)
-    assert s.productivity_per_technician_per_day == 1.67 and s.total_active_technicians == 3
+    # day1: 4/2, day2: 3/2, day3: 1/1 -> mean 1.5 (installs / technicians overall would give 8/3)
+    assert s.productivity_per_technician_per_day == 1.5 and s.total_active_technicians == 3
     ins = {r.position: r for r in sec["insights"].spark({"a02": df}).collect()}
     # A: (4+1)/2 = 2.5, C: (2+1)/2 = 1.5, B: 0 -> top A, lowest B
     assert ins["top"].name == "A" and ins["lowest"].name == "B"
