@@ -91,3 +91,30 @@ def run(spark: SparkSession, meters: DataFrame, complaints: DataFrame, out_dir:
         write_summary(df, os.path.join(out_dir, name))
         times[name] = time.time() - t0
     return times
+
+
+def main(argv=None) -> None:
+    """spark-submit entry: refresh summaries from fact Parquet (or the test binding)."""
+    import argparse
+    import json
+
+    from ..session import get_spark
+    from ..sources.fixtures import bind_complaints, bind_meters
+
+    ap = argparse.ArgumentParser(description="full refresh of the KPI summaries")
+    ap.add_argument("--meters")
+    ap.add_argument("--complaints")
+    ap.add_argument("--sf-dir", help="bind the facts from test tables instead")
+    ap.add_argument("--out", required=True)
+    ap.add_argument("--pipeline", choices=["mi", "om", "all"], default="all")
+    a = ap.parse_args(argv)
+    spark = SparkSession.getActiveSession() or get_spark()
+    if a.sf_dir:
+        meters, complaints = bind_meters(spark, a.sf_dir), bind_complaints(spark, a.sf_dir)
+    else:
+        meters, complaints = spark.read.parquet(a.meters), spark.read.parquet(a.complaints)
+    print(json.dumps(run(spark, meters, complaints, a.out, pipeline=a.pipeline)))
+
+
+if __name__ == "__main__":
+    main()
