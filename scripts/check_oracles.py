@@ -19,13 +19,16 @@ from gridpulse.session import get_spark  # noqa: E402
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
+EXACT = bool(__import__("os").environ.get("CHECK_EXACT"))
+
+
 def norm(v):
     if v is None:
         return None
     if isinstance(v, float):
         if math.isnan(v):
             return "nan"
-        return round(v, 6)
+        return repr(v) if EXACT else round(v, 6)
     if hasattr(v, "isoformat"):
         return v.isoformat()
     return v

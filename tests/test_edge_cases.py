@@ -161,3 +161,22 @@ def test_whole_day_ceiling(spark):
     df = spark.createDataFrame([(23.0,), (23.01,), (None,)], "x double")
     got = [r[0] for r in df.select(Dd.ceil_days(Dd.c("x")).col).collect()]
     assert got == [23, 24, None]
+
+
+def test_performer_ties_break_by_name(spark):
+    from gridpulse.plans import dashboards_mi as QM
+    rows = [("ASIA", "CONSUMER", D(2000, 1, 1), "B", 2), ("ASIA", "CONSUMER", D(2000, 1, 1), "A", 2),
+            ("ASIA", "CONSUMER", D(2000, 1, 1), "C", 1)]
+    df = spark.createDataFrame(rows, "project string, meter_category string, installation_date date, "
+                                     "technician string, total_installations long")
+    ins = {r.position: r.name for r in QM.q02_technician_productivity(Filters(project="asia"))["insights"]
+           .spark({"a02": df}).collect()}
+    assert ins == {"top": "A", "lowest": "C"}
+
+
+def test_trend_ordered_by_date_not_label(spark):
+    from gridpulse.plans import dashboards_mi as QM
+    m = meters(spark, [{"mi_date": D(2001, 1, 1), "sat_no": "SAT-1", "project": "ASIA"},
+                       {"mi_date": D(1999, 1, 1), "sat_no": "SAT-1", "project": "ASIA"}])
+    tr = QM.q01_progress(Filters(duration="monthly"))["trend"].spark({"a01": BM.mi_progress(m)}).collect()
+    assert [r.period_value for r in tr] == ["01-01-99", "01-01-01"]

@@ -59,3 +59,23 @@ def test_filters_and_pruning_reach_the_scan(spark):
     p = _plan(BM.stock_ageing(m))
     scan = [ln for ln in p.splitlines() if "lineitem" in ln and "Scan parquet" in ln][0]
     assert "l_extendedprice" not in scan   # column pruning through the binding joins
+
+
+def test_dashboard_breakdowns_sum_to_totals(spark):
+    from gridpulse.functions.filters import Filters
+    from gridpulse.plans import dashboards_mi as QM
+    from gridpulse.plans import dashboards_om as QO
+    m = bind_meters(spark, SF_SMALL)
+    c = bind_complaints(spark, SF_SMALL)
+    bases = {"a01": BM.mi_progress(m), "a04": BM.inventory_utilization(m), "a18": BO.om_open_ageing(c)}
+    q1 = {k: p.spark(bases).collect() for k, p in QM.q01_progress(Filters()).items()}
+    total = q1["total"][0].total_progress
+    assert sum(r["total_mi_progress__total"] for r in q1["trend"]) == total
+    assert sum(r["total_mi_progress__total"] for r in q1["comparison"]) == total
+    for r in q1["trend"]:
+        assert r["total_mi_progress__total"] == sum(r[f"total_mi_progress__{k}"] for k in ("CONSUMER", "FEEDER", "DT"))
+    q4 = {k: p.spark(bases).collect() for k, p in QM.q04_inventory_utilization(Filters()).items()}
+    assert sum(r.total_inventory for r in q4["period_breakdown"]) == q4["summary"][0].total_inventory
+    s = QO.q21_open_ageing(Filters())["summary"].spark(bases).collect()[0]
+    classes = [k for k in s.asDict() if k.endswith("__total")]
+    assert sum(s[k] for k in classes) == s.total
