@@ -249,8 +249,8 @@ def command_center_trend(meters: DataFrame) -> DataFrame:
     union of inventory (didate) and progress (mi_date) periods, zero filled.
 
     Single pass instead of spine + two left joins (U2 + J2): each meter emits
-    up to two events (inventory at didate, progress at mi_date); one groupBy
-    per (project, month) counts each kind, and quarters roll up from months.
+    up to two events (inventory at didate, progress at mi_date), each tagged
+    with its month and quarter; one groupBy counts every kind.
     A (project, period) exists iff some event falls in it, which is exactly the
     UNION of the two activity key sets. A null project never matches in the
     reference's join, so its counts are zero.
@@ -261,21 +261,19 @@ def command_center_trend(meters: DataFrame) -> DataFrame:
         F.struct(F.lit("prog").alias("k"), F.col("mi_date").alias("d")),
     )
     e = (meters.select(X.norm_upper("project").alias("project"), "sat_no", F.explode(ev).alias("_e"))
-         .where(F.col("_e.d").isNotNull()))
-    is_prog = F.col("_e.k") == "prog"
-    monthly = (e.groupBy("project", F.trunc(F.col("_e.d"), "month").alias("period_start"))
-               .agg(F.count_if(F.col("_e.k") == "inv").alias("inventory_added"),
-                    F.count_if(is_prog & nb).alias("installed_added"),
-                    *[F.count_if(is_prog & P.sat_achieved(stage=k)).alias(f"s{k}_added") for k in C.SAT_STAGES]))
-    quarterly = (monthly.groupBy("project", F.trunc("period_start", "quarter").alias("period_start"))
-                 .agg(*[F.sum(c).alias(c) for c in TREND_COLS]))
-    both = (monthly.withColumn("period_type", F.lit("monthly"))
-            .withColumn("period_value", label_mon_yy("period_start"))
-            .unionByName(quarterly.withColumn("period_type", F.lit("quarterly"))
-                         .withColumn("period_value", label_quarter("period_start"))))
+         .where(F.col("_e.d").isNotNull())
+         .select("project", "sat_no", F.col("_e.k").alias("kind"), F.col("_e.d").alias("d")))
+    is_prog = F.col("kind") == "prog"
+    agg = (explode_grains(e, "d", ("monthly", "quarterly"))
+           .groupBy("project", "period_type", "period_start")
+           .agg(F.count_if(F.col("kind") == "inv").alias("inventory_added"),
+                F.count_if(is_prog & nb).alias("installed_added"),
+                *[F.count_if(is_prog & P.sat_achieved(stage=k)).alias(f"s{k}_added") for k in C.SAT_STAGES]))
+    label = (F.when(F.col("period_type") == "monthly", label_mon_yy("period_start"))
+              .otherwise(label_quarter("period_start")))
     zeroed = [F.when(F.col("project").isNull(), F.lit(0).cast("long")).otherwise(F.col(c)).alias(c)
               for c in TREND_COLS]
-    return both.select("project", "period_type", "period_value", "period_start", *zeroed)
+    return agg.select("project", "period_type", label.alias("period_value"), "period_start", *zeroed)
 
 
 # A12 ------------------------------------------------------------------------
