@@ -108,6 +108,29 @@ reg_dash("q24_closed_analysis", QO.q24_closed_analysis(F0))
 reg_dash("q24_closed_analysis_monthly", QO.q24_closed_analysis(F0.with_(duration="monthly", project="africa", level="division")))
 reg_plan("q32_open_and_closure", QO.q32_open_and_closure(F0))
 
+# Parameter variants: bucket paths (consumer sub-buckets, flat feeder/dt), one
+# project with a lower level, date ranges, non-default grains.
+FC = F0.with_(category="consumer")
+reg_dash("q07_mi_vs_sat_consumer_zone", QM.q07_mi_vs_sat(FC.with_(level="zone")))
+reg_dash("q07_mi_vs_sat_asia_dt_dated", QM.q07_mi_vs_sat(F0.with_(project="asia", category="dt", level="feeder",
+                                                                 start_date="1995-01-01", end_date="1996-12-31")))
+reg_dash("q09_meter_journey_consumer_weekly", QM.q09_meter_journey(FC.with_(duration="weekly", level="circle")))
+reg_dash("q10_pending_funnel_consumer", QM.q10_pending_funnel(FC))
+reg_dash("q10_pending_funnel_africa_feeder_substation", QM.q10_pending_funnel(
+    F0.with_(project="africa", category="feeder", level="substation")))
+reg_dash("q12_revenue_realized_consumer_monthly", QM.q12_revenue_realized(FC.with_(duration="monthly")))
+reg_dash("q13_revenue_ageing_consumer", QM.q13_revenue_ageing(FC.with_(level="dtr")))
+reg_dash("q13_revenue_ageing_dt", QM.q13_revenue_ageing(F0.with_(category="dt", project="asia")))
+reg_dash("q14_defective_meters_consumer_daily", QM.q14_defective_meters(FC.with_(duration="daily")))
+reg_dash("q14_defective_meters_dt_weekly", QM.q14_defective_meters(F0.with_(category="dt", duration="weekly", level="zone")))
+reg_dash("q03_productivity_trend_consumer_weekly", QM.q03_productivity_trend(FC.with_(duration="weekly", level="circle")))
+reg_dash("q19_productivity_trend_dt", QO.q19_productivity_trend(F0.with_(category="dt", level="division")))
+reg_dash("q24_closed_analysis_consumer_weekly", QO.q24_closed_analysis(
+    F0.with_(category="consumer", duration="weekly", start_date="2023-11-01", end_date="2024-01-15")))
+reg_dash("q23_closure_time_asia_weekly", QO.q23_closure_time(F0.with_(project="asia", duration="weekly", level="dtr")))
+reg_dash("q21_open_ageing_feeder_monthly", QO.q21_open_ageing(F0.with_(category="feeder", duration="monthly", project="europe")))
+reg_dash("q15_command_center_asia", QM.q15_command_center("asia"))
+
 from .extras import register_all as _register_extras  # noqa: E402
 
 _register_extras()
