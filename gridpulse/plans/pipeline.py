@@ -119,13 +119,18 @@ def main(argv=None) -> None:
     ap.add_argument("--sf-dir", help="bind the facts from test tables instead")
     ap.add_argument("--out", required=True)
     ap.add_argument("--pipeline", choices=["mi", "om", "all"], default="all")
+    ap.add_argument("--meter-as-of", help="YYYY-MM-DD run date for meter ageing (default: today, UTC)")
+    ap.add_argument("--complaint-as-of", help="YYYY-MM-DDTHH:MM:SS run time for ticket ageing (default: now, UTC)")
     a = ap.parse_args(argv)
+    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None, microsecond=0)
+    cfg = C.Config(meter_as_of=dt.date.fromisoformat(a.meter_as_of) if a.meter_as_of else now.date(),
+                   complaint_as_of=dt.datetime.fromisoformat(a.complaint_as_of) if a.complaint_as_of else now)
     spark = SparkSession.getActiveSession() or get_spark()
     if a.sf_dir:
         meters, complaints = bind_meters(spark, a.sf_dir), bind_complaints(spark, a.sf_dir)
     else:
         meters, complaints = spark.read.parquet(a.meters), spark.read.parquet(a.complaints)
-    print(json.dumps(run(spark, meters, complaints, a.out, pipeline=a.pipeline)))
+    print(json.dumps(run(spark, meters, complaints, a.out, cfg=cfg, pipeline=a.pipeline)))
 
 
 if __name__ == "__main__":
