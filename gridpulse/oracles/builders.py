@@ -9,14 +9,22 @@ AS_OF = f"DATE '{C.DEFAULT.meter_as_of.isoformat()}'"
 AS_OF_TS = f"TIMESTAMP '{C.DEFAULT.complaint_as_of.isoformat(sep=' ')}'"
 
 
+GRAINS3 = "(VALUES ('daily'), ('weekly'), ('monthly')) g(period_type)"
+
+
+def grain_start(day):
+    """Start of the grain g.period_type holding ``day``."""
+    return (f"CASE g.period_type WHEN 'daily' THEN CAST({day} AS DATE) "
+            f"WHEN 'weekly' THEN {trunc('week', day)} ELSE {trunc('month', day)} END")
+
+
 def a01():
-    parts = []
-    for g, ps in (("daily", "mi_date"), ("weekly", trunc("week", "mi_date")), ("monthly", trunc("month", "mi_date"))):
-        parts.append(f"""
-SELECT {DIMS_RAW}, '{g}' AS period_type, {ddmmyy(ps)} AS period_value, {ps} AS period_start,
+    ps = grain_start("mi_date")
+    return with_facts(select=f"""
+SELECT {DIMS_RAW}, g.period_type, {ddmmyy(ps)} AS period_value, {ps} AS period_start,
        {cnt()} AS total_mi_progress
-FROM meters WHERE {F1} GROUP BY ALL""")
-    return with_facts(select=" UNION ALL ".join(parts))
+FROM meters CROSS JOIN {GRAINS3}
+WHERE {F1} GROUP BY ALL""")
 
 
 def a02():
@@ -88,14 +96,12 @@ def a08():
     avgs = ", ".join(f"AVG({n}) AS {n}" for n, _, _ in JOURNEY)
     sums = ", ".join(f"{bsum(n)} AS {n}_sum" for n, _, _ in JOURNEY)
     ns = ", ".join(f"{cnt(n)} AS {n}_n" for n, _, _ in JOURNEY)
-    where = "pmpm_collection_date IS NOT NULL AND sat_date <= (SELECT MAX(sat_date) FROM meters)"
-    parts = []
-    for g in ("weekly", "monthly", "daily"):
-        ps = "pmpm_collection_date" if g == "daily" else trunc("week" if g == "weekly" else "month", "pmpm_collection_date")
-        parts.append(f"SELECT {MIDIM}, '{g}' AS period_type, {ddmmyy(ps)} AS period_value, {ps} AS period_start, "
-                     f"{avgs}, {cnt()} AS meter_count, {sums}, {ns} FROM j GROUP BY ALL")
-    return with_facts(f"j AS (SELECT {DIMS_RAW}, pmpm_collection_date, {diffs} FROM meters WHERE {where})",
-                      select=" UNION ALL ".join(parts))
+    cohort = "pmpm_collection_date IS NOT NULL AND sat_date <= (SELECT MAX(sat_date) FROM meters)"
+    ps = grain_start("pmpm_collection_date")
+    return with_facts(f"j AS (SELECT {DIMS_RAW}, pmpm_collection_date, {diffs} FROM meters WHERE {cohort})", select=f"""
+SELECT {MIDIM}, g.period_type, {ddmmyy(ps)} AS period_value, {ps} AS period_start,
+       {avgs}, {cnt()} AS meter_count, {sums}, {ns}
+FROM j CROSS JOIN {GRAINS3} GROUP BY ALL""")
 
 
 def a09():
@@ -111,64 +117,59 @@ FROM meters GROUP BY ALL""")
 
 def a10():
     S = C.SAT_STAGES
-    stages = ", ".join(f"{cntf(sat_like(k))} AS s{k}" for k in S)
-    cols = []
-    for k in S:
-        later = [f"s{j}" for j in S if j > k]
-        e = f"(installed - ({'+'.join(later)}))" if later else "(installed)"
-        cols.append(f"{e} AS sat_{k}_eligibility")
-    for k in S:
-        cols.append(f"({'+'.join(f's{j}' for j in S if j <= k)}) AS sat_{k}_achievement")
-    for k in S:
-        later = [f"s{j}" for j in S if j > k]
-        e = f"(installed - ({'+'.join(later)}))" if later else "(installed)"
-        a = f"({'+'.join(f's{j}' for j in S if j <= k)})"
-        cols.append(f"CASE WHEN {e} > 0 THEN CAST({a} AS DOUBLE) / CAST({e} AS DOUBLE) * 100 "
-                    f"ELSE CAST(0 AS DOUBLE) END AS sat_{k}_throughput_pct")
-    return with_facts(f"""combined AS (
-  SELECT UPPER(TRIM(project)) AS project, {cnt()} AS inventory, {cntf(F1)} AS installed,
-         {cntf(sat_like())} AS total_sat, {stages}
-  FROM meters GROUP BY 1)""", select=f"""
-SELECT project, inventory, installed, total_sat, total_sat AS total_invoice, {', '.join(cols)} FROM combined""")
-
-
-def _trend_sql(unit, label_expr):
-    stages = ", ".join(f"{cntf(sat_like(k))} AS s{k}_added" for k in C.SAT_STAGES)
-    co = ", ".join(f"CAST(COALESCE(p.s{k}_added, 0) AS BIGINT) AS s{k}_added" for k in C.SAT_STAGES)
-    return f"""
-SELECT * FROM (
-WITH inventory_act AS (
-  SELECT UPPER(TRIM(project)) AS project, {trunc(unit, 'didate')} AS ps, {cnt()} AS inventory_added
-  FROM meters WHERE didate IS NOT NULL GROUP BY 1, 2),
-progress_act AS (
-  SELECT UPPER(TRIM(project)) AS project, {trunc(unit, 'mi_date')} AS ps,
-         {cntf(NB_SAT)} AS installed_added, {stages}
-  FROM meters WHERE mi_date IS NOT NULL GROUP BY 1, 2),
-all_periods AS (SELECT project, ps FROM inventory_act UNION SELECT project, ps FROM progress_act)
-SELECT ap.project, '{'monthly' if unit == 'month' else 'quarterly'}' AS period_type,
-       {label_expr('ap.ps')} AS period_value, ap.ps AS period_start,
-       CAST(COALESCE(i.inventory_added, 0) AS BIGINT) AS inventory_added,
-       CAST(COALESCE(p.installed_added, 0) AS BIGINT) AS installed_added, {co}
-FROM all_periods ap
-LEFT JOIN inventory_act i ON ap.project = i.project AND ap.ps = i.ps
-LEFT JOIN progress_act p ON ap.project = p.project AND ap.ps = p.ps)"""
+
+    def later(k):
+        rest = [f"s{j}" for j in S if j > k]
+        return f"(installed - ({' + '.join(rest)}))" if rest else "installed"
+
+    def upto(k):
+        return "(" + " + ".join(f"s{j}" for j in S if j <= k) + ")"
+    stage_counts = ", ".join(f"{cntf(sat_like(k))} AS s{k}" for k in S)
+    cols = ([f"{later(k)} AS sat_{k}_eligibility" for k in S] + [f"{upto(k)} AS sat_{k}_achievement" for k in S] +
+            [f"CASE WHEN {later(k)} > 0 THEN CAST({upto(k)} AS DOUBLE) / CAST({later(k)} AS DOUBLE) * 100 "
+             f"ELSE CAST(0 AS DOUBLE) END AS sat_{k}_throughput_pct" for k in S])
+    return with_facts(select=f"""
+SELECT project, inventory, installed, total_sat, total_sat AS total_invoice, {', '.join(cols)}
+FROM (SELECT UPPER(TRIM(project)) AS project, {cnt()} AS inventory, {cntf(F1)} AS installed,
+             {cntf(sat_like())} AS total_sat, {stage_counts}
+      FROM meters GROUP BY UPPER(TRIM(project))) per_project""")
 
 
 def a11():
-    return with_facts(select=_trend_sql("month", lambda e: f"strftime({e}, '%b-%y')") + " UNION ALL " +
-                      _trend_sql("quarter", lambda e: f"CAST(year({e}) AS VARCHAR) || '-Q' || CAST(quarter({e}) AS VARCHAR)"))
+    """Each meter contributes an inventory event (didate) and a progress event
+    (mi_date); counts per project and month/quarter. A null project keeps its
+    periods with zero counts."""
+    stage = ", ".join(f"CAST(COUNT(*) FILTER (WHERE kind = 'prog' AND {sat_like(k)}) AS BIGINT) AS s{k}_added"
+                      for k in C.SAT_STAGES)
+    ps = ("CASE g.period_type WHEN 'monthly' THEN CAST(date_trunc('month', d) AS DATE) "
+          "ELSE CAST(date_trunc('quarter', d) AS DATE) END")
+    zero = ", ".join(f"CASE WHEN project IS NULL THEN CAST(0 AS BIGINT) ELSE {c} END AS {c}"
+                     for c in ["inventory_added", "installed_added"] + [f"s{k}_added" for k in C.SAT_STAGES])
+    return with_facts(f"""ev AS (
+  SELECT UPPER(TRIM(project)) AS project, sat_no, 'inv' AS kind, didate AS d FROM meters WHERE didate IS NOT NULL
+  UNION ALL
+  SELECT UPPER(TRIM(project)), sat_no, 'prog', mi_date FROM meters WHERE mi_date IS NOT NULL)""",
+        f"""counted AS (
+  SELECT project, g.period_type, {ps} AS period_start,
+         CAST(COUNT(*) FILTER (WHERE kind = 'inv') AS BIGINT) AS inventory_added,
+         CAST(COUNT(*) FILTER (WHERE kind = 'prog' AND {NB_SAT}) AS BIGINT) AS installed_added, {stage}
+  FROM ev CROSS JOIN (VALUES ('monthly'), ('quarterly')) g(period_type) GROUP BY ALL)""", select=f"""
+SELECT project, period_type,
+       CASE period_type WHEN 'monthly' THEN strftime(period_start, '%b-%y')
+            ELSE CAST(year(period_start) AS VARCHAR) || '-Q' || CAST(quarter(period_start) AS VARCHAR) END AS period_value,
+       period_start, {zero}
+FROM counted""")
 
 
 def a12():
-    case = " ".join(f"WHEN {sat_like(k)} THEN 's{k}'" for k in C.SAT_STAGES)
-    return with_facts(f"""parsed AS (
-  SELECT UPPER(TRIM(project)) AS project, CASE {case} ELSE NULL END AS stage,
-         sat_date, lumpsum_invoice_date, pmpm_invoice_date, lumpsum_collection_date, pmpm_collection_date
-  FROM meters)""", select="""
-SELECT project, stage, MIN(sat_date) AS start_date, MIN(lumpsum_invoice_date) AS lumpsum_inv_date,
-       MIN(pmpm_invoice_date) AS pmpm_inv_date, MIN(lumpsum_collection_date) AS lumpsum_col_date,
-       MIN(pmpm_collection_date) AS pmpm_col_date
-FROM parsed WHERE stage IS NOT NULL GROUP BY project, stage""")
+    """Stage = 's' + the digit after 'sat-' (1-9), i.e. the first matching prefix."""
+    s5 = "substr(LOWER(TRIM(sat_no)), 5, 1)"
+    stage = f"CASE WHEN LOWER(TRIM(sat_no)) LIKE 'sat-%' AND {s5} BETWEEN '1' AND '9' THEN 's' || {s5} END"
+    return with_facts(select=f"""
+SELECT UPPER(TRIM(project)) AS project, {stage} AS stage, MIN(sat_date) AS start_date,
+       MIN(lumpsum_invoice_date) AS lumpsum_inv_date, MIN(pmpm_invoice_date) AS pmpm_inv_date,
+       MIN(lumpsum_collection_date) AS lumpsum_col_date, MIN(pmpm_collection_date) AS pmpm_col_date
+FROM meters WHERE {stage} IS NOT NULL GROUP BY ALL""")
 
 
 def a13():
@@ -206,40 +207,29 @@ SELECT {MIDIM}, 'monthly' AS period_type, {ddmmyy(mo)} AS period_value, {mo} AS
 FROM b GROUP BY ALL""")
 
 
-DEFECT_JOINED = """
-cleaned AS (
-  SELECT project, discom, zone, circle, division, sub_division AS subdivision, feeder, dtr, meter_category,
-         old_smart_meter_number, TRIM(REPLACE(REPLACE(complaint_type, '"', ''), chr(160), ' ')) AS clean_type,
-         created_date
-  FROM complaints
-  WHERE old_smart_meter_number IS NOT NULL AND TRIM(old_smart_meter_number) != ''
-    AND new_smart_meter_number IS NOT NULL AND TRIM(new_smart_meter_number) != ''),
-categorized AS (
-  SELECT *, CASE WHEN clean_type IN ('Meter burnt', 'Meter Sparking or Sparking at Meter terminal', 'Meter Terminal Burnt')
-                 THEN 'Meter Burnt' WHEN clean_type = 'Meter faulty or not working' THEN 'Meter Faulty'
-                 ELSE 'Others' END AS defective_type
-  FROM cleaned),
-joined AS (
-  SELECT c.*, COALESCE(inv.substation, 'Unknown') AS substation_inv, COALESCE(inv.metertype, 'Unknown') AS metertype_inv,
-    CASE WHEN c.meter_category IS NOT NULL AND TRIM(c.meter_category) != '' THEN
-           CASE WHEN UPPER(TRIM(c.meter_category)) = 'DTR' THEN 'DT' ELSE UPPER(TRIM(c.meter_category)) END
-         ELSE CASE WHEN inv.metertype = '3PLTCTSM' AND (inv.consumerno IS NULL OR TRIM(inv.consumerno) = '') THEN 'DT'
-                   WHEN inv.metertype = 'HTCTPTSM' AND (inv.consumerno IS NULL OR TRIM(inv.consumerno) = '') THEN 'FEEDER'
-                   ELSE 'CONSUMER' END
-    END AS refined_category
-  FROM categorized c LEFT JOIN meters inv ON c.old_smart_meter_number = inv.meterserialnumber)"""
-
-
 def a16():
-    parts = []
-    for g, ps in (("daily", "CAST(created_date AS DATE)"), ("weekly", trunc("week", "created_date")),
-                  ("monthly", trunc("month", "created_date"))):
-        parts.append(f"""
-SELECT project, discom, zone, circle, division, subdivision, substation_inv AS substation, feeder, dtr,
-       refined_category AS meter_category, metertype_inv AS new_meter_type, defective_type,
-       '{g}' AS period_type, {ddmmyy(ps)} AS period_value, {ps} AS period_start, {cnt()} AS meter_count
-FROM joined GROUP BY ALL""")
-    return with_facts(DEFECT_JOINED, select=" UNION ALL ".join(parts))
+    """Replaced-meter complaints (both serials non-blank) left-joined to every
+    meter with the same serial, classified, counted per grain of created_date."""
+    kind = ("TRIM(REPLACE(REPLACE(c.complaint_type, '\"', ''), chr(160), ' '))")
+    burnt = ", ".join(f"'{t}'" for t in C.BURNT_TYPES)
+    own = "UPPER(TRIM(c.meter_category))"
+    fallback = ("CASE WHEN m.metertype IN ('3PLTCTSM', 'HTCTPTSM') AND (m.consumerno IS NULL OR TRIM(m.consumerno) = '') "
+                "THEN CASE m.metertype WHEN '3PLTCTSM' THEN 'DT' ELSE 'FEEDER' END ELSE 'CONSUMER' END")
+    ps = grain_start("c.created_date")
+    return with_facts(select=f"""
+SELECT c.project, c.discom, c.zone, c.circle, c.division, c.sub_division AS subdivision,
+       COALESCE(m.substation, 'Unknown') AS substation, c.feeder, c.dtr,
+       CASE WHEN TRIM(COALESCE(c.meter_category, '')) <> '' THEN (CASE WHEN {own} = 'DTR' THEN 'DT' ELSE {own} END)
+            ELSE {fallback} END AS meter_category,
+       COALESCE(m.metertype, 'Unknown') AS new_meter_type,
+       CASE WHEN {kind} IN ({burnt}) THEN '{C.DEFECT_BURNT}' WHEN {kind} = '{C.FAULTY_TYPE}' THEN '{C.DEFECT_FAULTY}'
+            ELSE '{C.DEFECT_OTHERS}' END AS defective_type,
+       g.period_type, {ddmmyy(ps)} AS period_value, {ps} AS period_start, {cnt()} AS meter_count
+FROM complaints c
+LEFT JOIN meters m ON c.old_smart_meter_number = m.meterserialnumber
+CROSS JOIN {GRAINS3}
+WHERE TRIM(COALESCE(c.old_smart_meter_number, '')) <> '' AND TRIM(COALESCE(c.new_smart_meter_number, '')) <> ''
+GROUP BY ALL""")
 
 
 def a17():
@@ -278,15 +268,10 @@ FROM b GROUP BY {OMDIM}, created_day, closed_day""")
 
 def a20():
     keys = f"{OM_DIMS_SQL}, complaint_type, complaint_category, complaint_by"
+    ps = grain_start("closed_date")
     return with_facts(select=f"""
-SELECT {keys}, 'daily' AS period_type, strftime(closed_date, '%Y-%m-%d') AS period_value, {cnt()} AS closed_tickets,
-       CAST(closed_date AS DATE) AS closed_date
-FROM complaints WHERE closed_date IS NOT NULL GROUP BY ALL
-UNION ALL
-SELECT {keys}, 'weekly', strftime(date_trunc('week', closed_date), '%Y-%m-%d'), {cnt()},
-       {trunc('week', 'closed_date')}
-FROM complaints WHERE closed_date IS NOT NULL GROUP BY ALL
-UNION ALL
-SELECT {keys}, 'monthly', strftime(date_trunc('month', closed_date), '%Y-%m'), {cnt()},
-       {trunc('month', 'closed_date')}
-FROM complaints WHERE closed_date IS NOT NULL GROUP BY ALL""")
+SELECT {keys}, g.period_type,
+       CASE g.period_type WHEN 'monthly' THEN strftime({ps}, '%Y-%m') ELSE strftime({ps}, '%Y-%m-%d') END AS period_value,
+       {cnt()} AS closed_tickets, {ps} AS closed_date
+FROM complaints CROSS JOIN {GRAINS3}
+WHERE closed_date IS NOT NULL GROUP BY ALL""")
