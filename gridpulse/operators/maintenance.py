@@ -84,3 +84,21 @@ def non_sat_ageing_periods(non_sat: DataFrame) -> DataFrame:
                 *[F.count_if(d > k).alias(f"age_gt_{k}") for k in (30, 60, 90, 120)]))
     return out.select(*C.MIDIM, "period_type", label_ddmmyy("period_start").alias("period_value"),
                       F.col("period_start").alias("date_value"), *NSA)
+
+
+def geo_backfill_job(spark, meters: DataFrame, csv_path: str, out_path: str | None = None,
+                     execute: bool = False) -> DataFrame:
+    """M2 as a job: read the remediation CSV (S11), compute the stats and, when
+    ``execute`` is set, write the repaired meter table to ``out_path`` (a new
+    location; the input is never overwritten in place). Dry run writes nothing
+    and reports updated = 0, as the reference does."""
+    from ..sources.files import read_geo_mapping
+
+    raw, usable = read_geo_mapping(spark, csv_path)
+    repaired, stats = backfill_geo(meters, raw, usable)
+    if not execute:
+        return stats.withColumn("updated", F.lit(0).cast("long")).withColumn("missing_after", F.lit(None).cast("long"))
+    if not out_path:
+        raise ValueError("execute=True needs out_path")
+    repaired.write.mode("overwrite").parquet(out_path)
+    return stats

@@ -74,8 +74,10 @@ def stage_facts(spark: SparkSession, meters: DataFrame, complaints: DataFrame, r
     root = ensure_checkpoint_dir(spark)
     run_id = run_id or dt.datetime.now(dt.timezone.utc).strftime("%Y%m%dT%H%M%S%f")
     base = os.path.join(root, f"facts-{run_id}")
-    meters.write.mode("overwrite").parquet(f"{base}/meters")
-    complaints.write.mode("overwrite").parquet(f"{base}/complaints")
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=2) as ex:   # two independent jobs
+        list(ex.map(lambda kv: kv[1].write.mode("overwrite").parquet(f"{base}/{kv[0]}"),
+                    [("meters", meters), ("complaints", complaints)]))
     return spark.read.parquet(f"{base}/meters"), spark.read.parquet(f"{base}/complaints")
 
 

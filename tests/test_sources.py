@@ -84,3 +84,17 @@ def test_summary_sink_roundtrip(spark):
     tgt = StructType([StructField("project", StringType()), StructField("n", LongType()), StructField("x", StringType())])
     out = align_to_target(df, tgt)
     assert out.columns == ["project", "n", "x"] and out.where(F.col("x").isNull()).count() == 2
+
+
+def test_geo_backfill_job_dry_run_and_execute(spark):
+    d = tempfile.mkdtemp(dir="/tmp")
+    csv = os.path.join(d, "map.csv")
+    with open(csv, "w") as f:
+        f.write(" meter_serial_number ,discom,zone,circle,division,subdivision\n M1 ,D,Z,C,V,S\nM2,D,,C,V,S\n")
+    m = rows_to_df(spark, METERS, [{"meterserialnumber": "M1", "discom": None}, {"meterserialnumber": "M2"}])
+    dry = M.geo_backfill_job(spark, m, csv).collect()[0]
+    assert (dry.loaded, dry.filtered, dry.would_update, dry.updated) == (2, 1, 1, 0)
+    out = os.path.join(d, "repaired")
+    done = M.geo_backfill_job(spark, m, csv, out, execute=True).collect()[0]
+    assert done.updated == 1 and done.missing_after == 1
+    assert spark.read.parquet(out).where("discom = 'D'").count() == 1
