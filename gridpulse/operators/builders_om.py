@@ -91,7 +91,7 @@ def om_open_ageing(complaints: DataFrame, as_of: dt.datetime = C.DEFAULT.complai
     """Open tickets with fractional age (days) against as_of."""
     return (complaints.where(P.open_ticket())
             .select(*_om_dims(), "ticket_id", "created_date",
-                    X.fractional_days("created_date", F.lit(as_of).cast("timestamp_ntz")).alias("ageing_days"),
+                    X.fractional_days("created_date", F.to_timestamp_ntz(F.lit(as_of.isoformat(sep=" ")))).alias("ageing_days"),
                     "technician", "agency", "complaint_by"))
 
 
