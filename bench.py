@@ -72,7 +72,7 @@ def main():
         "q18_team_productivity": QO.q18_team_productivity(), "q19_productivity_trend": QO.q19_productivity_trend(),
         "q20_open_tickets": {"page": QO.q20_open_tickets()}, "q21_open_ageing": QO.q21_open_ageing(),
         "q22_closure_list": {"page": QO.q22_closure_list()}, "q23_closure_time": QO.q23_closure_time(),
-        "q24_closed_analysis": QO.q24_closed_analysis(),
+        "q24_closed_analysis": QO.q24_closed_analysis(), "q31_closure_time_nested": QO.q31_closure_time_nested(),
     }
     def run_dashboard(item):
         # the sections of one dashboard are independent jobs: submit them together

@@ -299,3 +299,37 @@ def q24_closed_analysis(f: Filters = Filters()) -> dict:
                                             aggs=_closed_aggs(), order=["label"])),
         "category": single("a20", Section(where=D.and_(w, has_cat), group=[cat], aggs=_closed_aggs())),
     }
+
+
+# Q31 -------------------------------------------------------------------------
+def q31_closure_time_nested(f: Filters = Filters()) -> dict:
+    """Q23 with category-bucket nesting (documented form). Only the `total`
+    nesting exists: the consumer sub-buckets need a meter type that the
+    closure summary does not carry. Per bucket: closed tickets and the R12
+    weighted mean; `__total` over the mapped rows."""
+    if f.category_l != "total":
+        raise ValueError("only category=total nesting is available for closure time")
+    dur = (f.duration or "monthly").lower()
+    w = _where(f, "closed_date")
+    lab, has_level = om_label(f)
+    b, keys = D.bucket("total")
+    wt = D.E(lambda: F.when(F.col("closed_tickets") > 0, F.col("closed_tickets")).otherwise(F.lit(1)),
+             "CASE WHEN closed_tickets > 0 THEN closed_tickets ELSE 1 END")
+
+    def section(group, where, order):
+        aggs, post = [], [_n(g.name) for g in group]
+        for k in keys + ["total"]:
+            cond = D.E(lambda: b.col.isNotNull(), f"({b.sql} IS NOT NULL)") if k == "total" else D.eq(b, D.lit(k))
+            aggs += [D.sum_if0(cond, D.c("closed_tickets")).alias(f"total_closed_tickets__{k}"),
+                     D.sum_if0(cond, D.c("resolution_us")).alias(f"_us_{k}"), D.sum_if0(cond, wt).alias(f"_w_{k}")]
+            mean = D.E(lambda k=k: F.when(F.col(f"_w_{k}") > 0, F.col(f"_us_{k}").cast("double") / F.lit(86400000000.0)
+                                          / F.col(f"_w_{k}").cast("double")),
+                       f"CASE WHEN _w_{k} > 0 THEN CAST(_us_{k} AS DOUBLE) / CAST(86400000000 AS DOUBLE) "
+                       f"/ CAST(_w_{k} AS DOUBLE) END")
+            post += [_n(f"total_closed_tickets__{k}"), D.round2(mean).alias(f"avg_resolution_days__{k}")]
+        return single("a19", Section(where=where, group=group, aggs=aggs, post=post, order=order))
+    tl = _period_label("closed_date", dur).alias("period_value")
+    return {"summary": section([], w, None),
+            "trend": section([tl], D.and_(w, D.E(lambda: F.col("closed_date").isNotNull(), "(closed_date IS NOT NULL)")),
+                             ["period_value"]),
+            "comparison": section([lab.alias("label")], D.and_(w, has_level), ["label"])}

@@ -107,6 +107,7 @@ reg_dash("q23_closure_time_consumer_daily", QO.q23_closure_time(F0.with_(categor
 reg_dash("q24_closed_analysis", QO.q24_closed_analysis(F0))
 reg_dash("q24_closed_analysis_monthly", QO.q24_closed_analysis(F0.with_(duration="monthly", project="africa", level="division")))
 reg_plan("q32_open_and_closure", QO.q32_open_and_closure(F0))
+reg_dash("q31_closure_time_nested", QO.q31_closure_time_nested(F0))
 
 # Parameter variants: bucket paths (consumer sub-buckets, flat feeder/dt), one
 # project with a lower level, date ranges, non-default grains.
