@@ -11,14 +11,21 @@ from ..functions import columns as X
 def inventory_installations(inventory: DataFrame, installations: DataFrame, serial: str = "meterserialnumber",
                             date_col: str = "didate") -> DataFrame:
     """Inventory left-joined to installations on the serial, utilisation by
-    normalised project and month. The installation side is reduced to its
-    distinct serials first (an aggregate, combined map-side), so repeated
-    serials neither fan out nor concentrate in one task."""
+    normalised project and month.
+
+    Both sides are reduced before the shuffle on the serial: installations to
+    their distinct serials, inventory to (serial, project, month) counts. A
+    serial shared by a large share of the rows is then a handful of rows in
+    the join, and the inventory count restores the row-level totals."""
     inst = installations.select(F.col(serial).alias("_s")).distinct().withColumn("_hit", F.lit(True))
-    j = inventory.join(inst, inventory[serial] == inst["_s"], "left")
-    return (j.groupBy(X.norm_upper("project").alias("project"), F.trunc(F.col(date_col), "month").alias("period_start"))
-            .agg(F.count(F.lit(1)).alias("total_inventory"),
-                 F.count_if(F.col("_hit").isNotNull()).alias("total_installed")))
+    inv = (inventory.groupBy(F.col(serial).alias("_s"), X.norm_upper("project").alias("project"),
+                             F.trunc(F.col(date_col), "month").alias("period_start"))
+           .agg(F.count(F.lit(1)).alias("_n")))
+    j = inv.join(inst, "_s", "left")
+    return (j.groupBy("project", "period_start")
+            .agg(F.sum("_n").alias("total_inventory"),
+                 F.coalesce(F.sum(F.when(F.col("_hit").isNotNull(), F.col("_n"))), F.lit(0)).cast("long")
+                 .alias("total_installed")))
 
 
 BROADCAST_MAX_ROWS = 100_000
