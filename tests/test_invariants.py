@@ -79,3 +79,22 @@ def test_dashboard_breakdowns_sum_to_totals(spark):
     s = QO.q21_open_ageing(Filters())["summary"].spark(bases).collect()[0]
     classes = [k for k in s.asDict() if k.endswith("__total")]
     assert sum(s[k] for k in classes) == s.total
+
+
+def test_hot_serial_fan_out_is_counted_not_materialised(spark):
+    """A serial held by 20,000 meters and named by 500 complaints: the reference's
+    left join yields 10,000,000 rows; the pre-aggregated join gives the same
+    count from one row per side."""
+    import time
+    meters = spark.range(20000).select(F.lit("HOT").alias("meterserialnumber"), F.lit("SS-1").alias("substation"),
+                                       F.lit("1PH-STSM").alias("metertype"), F.lit("1").alias("consumerno"))
+    comp = spark.range(500).select(
+        F.lit("ASIA").alias("project"), F.lit("D").alias("discom"), F.lit("Z").alias("zone"), F.lit("C").alias("circle"),
+        F.lit("V").alias("division"), F.lit("SD").alias("sub_division"), F.lit("F").alias("feeder"),
+        F.lit("T").alias("dtr"), F.lit("Consumer").alias("meter_category"), F.lit("HOT").alias("old_smart_meter_number"),
+        F.lit("N").alias("new_smart_meter_number"), F.lit("Meter burnt").alias("complaint_type"),
+        F.to_timestamp_ntz(F.lit("2024-01-02 10:00:00")).alias("created_date"))
+    t0 = time.time()
+    rows = BO.defective_meters(comp, meters).where("period_type = 'daily'").collect()
+    assert len(rows) == 1 and rows[0].meter_count == 20000 * 500
+    assert time.time() - t0 < 60
