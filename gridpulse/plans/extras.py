@@ -53,6 +53,54 @@ SELECT l_orderkey, l_linenumber, raw_date,
 FROM d""")
 
 
+# S3 / S4 --------------------------------------------------------------------------
+def _mixed(c, key):
+    """Render a date as text, ISO for even keys and DD-MM-YYYY for odd ones."""
+    return F.when(F.col(key) % 2 == 0, F.date_format(c, "yyyy-MM-dd")).otherwise(F.date_format(c, "dd-MM-yyyy"))
+
+
+def _staging_src(spark, sf):
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate", "l_partkey")
+    o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_orderdate")
+    return li.join(o, li.l_orderkey == o.o_orderkey)
+
+
+def _s03(spark, sf):
+    src = _staging_src(spark, sf).select(
+        "l_orderkey", "l_linenumber", _mixed(F.col("l_shipdate"), "l_partkey").alias("installationDate"))
+    return S.installation_staging(src)
+
+
+def _s04(spark, sf):
+    src = _staging_src(spark, sf).select(
+        "l_orderkey", "l_linenumber", F.lit(" asia ").alias("project"),
+        _mixed(F.col("o_orderdate"), "l_orderkey").alias("DIDate"),
+        _mixed(F.col("l_shipdate"), "l_linenumber").alias("InstalledTS"))
+    return S.inventory_staging(src)
+
+
+def _mixed_sql(c, key):
+    return f"CASE WHEN {key} % 2 = 0 THEN strftime({c}, '%Y-%m-%d') ELSE strftime({c}, '%d-%m-%Y') END"
+
+
+def _parse_sql(c):
+    return f"CAST(COALESCE(try_strptime({c}, '%Y-%m-%d'), try_strptime({c}, '%d-%m-%Y')) AS DATE)"
+
+
+def _s03_sql():
+    return with_facts(f"""src AS (SELECT l_orderkey, l_linenumber, {_mixed_sql('l_shipdate', 'l_partkey')} AS "installationDate"
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""",
+                      select=f'SELECT *, {_parse_sql(chr(34) + "installationDate" + chr(34))} AS installation_date FROM src')
+
+
+def _s04_sql():
+    return with_facts(f"""src AS (SELECT l_orderkey, l_linenumber, ' asia ' AS project,
+  {_mixed_sql('o_orderdate', 'l_orderkey')} AS "DIDate", {_mixed_sql('l_shipdate', 'l_linenumber')} AS "InstalledTS"
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)""", select=f"""
+SELECT *, project AS project_name, {_parse_sql('"DIDate"')} AS didate, {_parse_sql('"InstalledTS"')} AS installed_date
+FROM src""")
+
+
 # S7 -------------------------------------------------------------------------------
 OPEN_MISSING = ["closed_date", "new_smart_meter_number", "complaint_category"]
 
@@ -271,6 +319,8 @@ GROUP BY ROLLUP (period_start, meter_category, new_meter_type)""")
 
 def register_all():
     from .queries_dash import plan_oracle, plan_query, reg_plan
+    reg("s03_installation_staging", _s03, _s03_sql)
+    reg("s04_inventory_staging", _s04, _s04_sql)
     reg("s06_mixed_date_parse", _s06, _s06_sql)
     reg("s07_align_concat", _s07, _s07_sql)
     reg("s08_time_enrichment", _s08, _s08_sql)

@@ -19,12 +19,16 @@ def parse_mixed_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_date(col(c), fmt) for fmt in formats])
 
 
-def read_installation_staging(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """S3: installation staging with a parsed installation date."""
-    df = spark.read.format(fmt).option("header", "true").option("mode", "PERMISSIVE").load(path)
+def installation_staging(df: DataFrame) -> DataFrame:
+    """S3: installation staging frame with a parsed installation date."""
     return df.withColumn("installation_date", parse_mixed_date("installationDate"))
 
 
+def read_installation_staging(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+    """S3: read the installation staging file (all strings) and parse its date."""
+    return installation_staging(spark.read.format(fmt).option("header", "true").option("mode", "PERMISSIVE").load(path))
+
+
 def inventory_staging(df: DataFrame, project_col: str = "project") -> DataFrame:
     """Inventory staging: project alias, parsed DI date and installed date."""
     return df.select(*[c for c in df.columns],
