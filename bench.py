@@ -36,7 +36,7 @@ BASE_TABLE = {
     "a11": "dashboard_command_center_trend", "a12": "dashboard_command_center_milestone",
     "a13": "sql_mi_sat_invoice", "a14": "sql_revenue_realized", "a15": "sql_revenue_ageing",
     "a16": "sql_defective_meters", "a17": "sql_om_team_productivity_dashboard", "a18": "sql_om_open_ageing",
-    "a19": "sql_om_avg_closure_time", "a20": "sql_om_closed_analysis",
+    "a19": "sql_om_avg_closure_time", "a20": "sql_om_closed_analysis", "m03": "sql_non_sat_ageing_dashboard",
 }
 
 

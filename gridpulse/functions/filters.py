@@ -22,6 +22,22 @@ class Filters:
     def with_(self, **kw) -> "Filters":
         return replace(self, **kw)
 
+    @classmethod
+    def from_params(cls, params: dict) -> "Filters":
+        """Build from a request-parameter dict: project, category (alias
+        meter_category), level, duration (alias period), start_date, end_date,
+        limit, offset; every other non-empty key is a dimension filter
+        (om_category is an alias of meter_category)."""
+        p = {k: v for k, v in params.items() if v not in (None, "")}
+        known = {"project", "category", "meter_category", "level", "duration", "period", "start_date",
+                 "end_date", "limit", "offset"}
+        dims = tuple(("meter_category" if k == "om_category" else k, str(v))
+                     for k, v in p.items() if k not in known)
+        return cls(project=p.get("project", "all"), category=p.get("category", p.get("meter_category", "total")),
+                   level=p.get("level", "discom"), duration=p.get("duration", p.get("period")),
+                   start_date=p.get("start_date"), end_date=p.get("end_date"), dims=dims,
+                   limit=int(p["limit"]) if "limit" in p else None, offset=int(p.get("offset", 0)))
+
     @property
     def project_l(self) -> str:
         return (self.project or "all").lower()

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .. import config as C
 from ..operators import builders_mi as BM
 from ..operators import builders_om as BO
+from ..operators import maintenance as MT
 from ..session import ensure_checkpoint_dir
 from ..sources.sinks import write_summary
 
@@ -41,6 +42,8 @@ SUMMARIES = {
     "sql_om_open_ageing": ("c_asof", BO.om_open_ageing),
     "sql_om_avg_closure_time": ("c", BO.om_avg_closure_time),
     "sql_om_closed_analysis": ("c", BO.om_closed_analysis),
+    # M3: the period table the reference declares but never fills
+    "sql_non_sat_ageing_dashboard": ("m_asof", lambda m, as_of: MT.non_sat_ageing_periods(BM.non_sat_ageing(m, as_of))),
 }
 
 

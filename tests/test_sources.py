@@ -98,3 +98,11 @@ def test_geo_backfill_job_dry_run_and_execute(spark):
     done = M.geo_backfill_job(spark, m, csv, out, execute=True).collect()[0]
     assert done.updated == 1 and done.missing_after == 1
     assert spark.read.parquet(out).where("discom = 'D'").count() == 1
+
+
+def test_filters_from_params():
+    from gridpulse.functions.filters import Filters
+    f = Filters.from_params({"project": "asia", "meter_category": "dt", "period": "weekly", "zone": "Z1",
+                             "om_category": "DTR", "limit": "10", "start_date": ""})
+    assert (f.project, f.category, f.duration, f.limit, f.start_date) == ("asia", "dt", "weekly", 10, None)
+    assert set(f.dims) == {("zone", "Z1"), ("meter_category", "DTR")}
