@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .dual import E, Named, q
+from .dual import E, q
 
 
 @dataclass(frozen=True)

@@ -2,7 +2,7 @@
 one SELECT per grain joined by UNION ALL, spine + left joins, fan-out join)."""
 from .. import config as C
 from ..sources.fixtures import with_facts
-from .sqlbits import (CAT, DIMS_NORM, DIMS_RAW, F1, GEO, MIDIM, NB_SAT, OMDIM, age_buckets, bsum, cnt, cntf,
+from .sqlbits import (DIMS_NORM, DIMS_RAW, F1, MIDIM, NB_SAT, OMDIM, age_buckets, bsum, cnt, cntf,
                       ddmmyy, pct, sat_like, trunc)
 
 AS_OF = f"DATE '{C.DEFAULT.meter_as_of.isoformat()}'"

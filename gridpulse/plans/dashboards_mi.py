@@ -10,8 +10,7 @@ from ..functions.filters import Filters, normalise_duration
 from ..operators import dual as D
 from ..operators import rollups as R
 from ..operators.sections import Section
-from .base import (Plan, category_scope, chain, date_range, dim_filters, merged, mi_label, project_scope_mi,
-                   single)
+from .base import Plan, category_scope, chain, date_range, dim_filters, mi_label, project_scope_mi, single
 
 ALL_MI_COLS = set(C.MIDIM) | {"period_type", "period_value"}
 GEO_LEVELS = ["discom", "zone", "circle", "division", "subdivision", "substation", "feeder", "dtr"]

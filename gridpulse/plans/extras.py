@@ -318,7 +318,7 @@ GROUP BY ROLLUP (period_start, meter_category, new_meter_type)""")
 
 
 def register_all():
-    from .queries_dash import plan_oracle, plan_query, reg_plan
+    from .queries_dash import reg_plan
     reg("s03_installation_staging", _s03, _s03_sql)
     reg("s04_inventory_staging", _s04, _s04_sql)
     reg("s06_mixed_date_parse", _s06, _s06_sql)
