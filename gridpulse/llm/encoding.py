@@ -22,7 +22,7 @@ END_ID = 1
 
 #: Parts kept per worker, in two generations: when the younger is full it becomes the older,
 #: and of the one before only the parts that came up again are left.
-MEMO_PARTS = 500_000
+MEMO_PARTS = 1_000_000
 #: Texts are handled in groups of about so many characters.
 GROUP_CHARS = 1_000_000
 
@@ -68,6 +68,8 @@ class TextEncoder:
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(vocabulary_path(name, folder))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        if hasattr(self.tokenizer.model, "_resize_cache"):  # the memo does its work; ids are the same
+            self.tokenizer.model._resize_cache(0)
         if name == BYTE_BPE:  # a token of the byte alphabet has a character for each byte
             vocab = self.tokenizer.get_vocab()
             self.token_bytes = np.zeros(max(vocab.values()) + 1, "<i8")
