@@ -53,7 +53,7 @@ def repeated_lines(docs: DataFrame, folder: str, id_column: str = "doc_id", text
     first = (prints.groupBy("gram").agg(F.min(F.struct("i", "h", "pos", "left", "right")).alias("first"), F.count("*").alias("times")).filter("times > 1")
              .select("gram", "first"))
     first = written(first, folder, "first")
-    met = prints.join(first, "gram").filter(~(F.col("i").eqNullSafe(F.col("first.i")) & (F.col("h") == F.col("first.h")) & (F.col("pos") == F.col("first.pos"))))
+    met = prints.join(first.hint("merge"), "gram").filter(~(F.col("i").eqNullSafe(F.col("first.i")) & (F.col("h") == F.col("first.h")) & (F.col("pos") == F.col("first.pos"))))
     met = (met.withColumn("after", _common(F.col("right"), F.col("first.right"))).filter("after >= n")  # the gram itself is compared, too
            .withColumn("ahead", _common(F.reverse("left"), F.reverse("first.left"))))
     gone = F.concat(F.slice(F.reverse("left"), 1, F.col("ahead")), F.slice("right", 1, F.col("after")))
@@ -74,7 +74,7 @@ def line_dedup(docs: DataFrame, folder: str, id_column: str = "doc_id", text_col
     n, key, number = free_name(docs, "n_deleted"), free_name(docs, "h"), free_name(docs, "gone")
     gone = gone.select(F.col("i").alias("_i"), F.col("h").alias("_h"), F.col("gone").alias(number))
     keyed = docs.withColumn(key, F.xxhash64(text_of(text_column)))
-    joined = keyed.join(gone, keyed[id_column].eqNullSafe(gone["_i"]) & (keyed[key] == gone["_h"]), "left")
+    joined = keyed.join(gone.hint("merge"), keyed[id_column].eqNullSafe(gone["_i"]) & (keyed[key] == gone["_h"]), "left")
     lines = F.split(F.col(text_column), "\n")
     stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(number))
     text = F.when(F.col(number).isNull(), F.col(text_column)).otherwise(F.array_join(F.transform(stay, lambda p: F.get(lines, p)), "\n"))
