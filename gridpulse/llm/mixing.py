@@ -142,7 +142,7 @@ def draw(docs: DataFrame, rates: DataFrame, id_column: str = "doc_id", text_colu
     keyed = docs.withColumn(h, F.xxhash64(text_of(text_column)))
     chance = F.pmod(F.xxhash64("doc_id", "h", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
     drawn = rates.select(F.col("doc_id").alias("_i"), F.col("h").alias("_h"), (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("long")).cast("int").alias(copies)).distinct()
-    joined = keyed.join(drawn.filter(F.col(copies) > 0), keyed[id_column].eqNullSafe(drawn["_i"]) & (keyed[h] == drawn["_h"]))
+    joined = keyed.join(drawn.filter(F.col(copies) > 0).hint("merge"), keyed[id_column].eqNullSafe(drawn["_i"]) & (keyed[h] == drawn["_h"]))
     return joined.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*(docs[c] for c in docs.columns))
 
 

@@ -144,7 +144,7 @@ def one_of_each(docs: DataFrame, folder: str, id_column: str = "doc_id", text_co
     keyed = docs.withColumns({"__i": F.col(id_column).cast("long"), "__h": F.xxhash64(text_of(text_column))})
 
     def those(which: DataFrame) -> DataFrame:
-        return keyed.join(which, keyed["__i"].eqNullSafe(which["_i"]) & (keyed["__h"] == which["_h"]), "left_semi")
+        return keyed.join(which.hint("merge"), keyed["__i"].eqNullSafe(which["_i"]) & (keyed["__h"] == which["_h"]), "left_semi")
 
     out = those(best.filter("n = 1"))
     again = best.filter("n > 1")
