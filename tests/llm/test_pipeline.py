@@ -10,7 +10,8 @@ def test_stages_keep_the_columns_and_planted_cases(spark, docs_of, folder):
     import corpus_pipeline as P
     from gridpulse.llm.common import written
     prose = ("The committee met on Monday to talk about the new library, and most of its members liked the plan that the town had drawn up.\n"
-             "Afterwards they walked along the river, where children fed the ducks and an old man sold roasted chestnuts from a small cart.\n")
+             "Afterwards they walked along the river, where children fed the ducks and an old man sold roasted chestnuts from a small cart.\n"
+             "When the evening came the lamps were lit, the shops put up their shutters, and the last tram rang its bell on the way to the depot by the hill.\n")
     clean = [(i, prose + f"Chapter {i} tells how the {w} came to the harbour, who saw it first, what the mayor said about it, and why nobody ever forgot that long and windy day."
               f" It was the year of the {w}, and the {w} was all that people spoke of in the market, in the school and at the mill.") for i, w in enumerate("whale ship storm circus train comet".split())]
     rows = [*clean, (50, clean[0][1]), (51, "too short"), (52, None), (53, ""), (None, clean[1][1])]
