@@ -54,6 +54,18 @@ class Filters:
         return C.CATEGORY_INPUT_MAP.get(self.category_l)
 
 
+#: Rows of a list page: the default, and the most that may be asked for.
+PAGE_ROWS, MAX_PAGE_ROWS = 1000, 50_000
+
+
+def page_rows(f: "Filters") -> int:
+    """Page size of the list endpoints."""
+    n = PAGE_ROWS if f.limit is None else f.limit
+    if not 1 <= n <= MAX_PAGE_ROWS:
+        raise ValueError(f"limit must be from 1 to {MAX_PAGE_ROWS}")
+    return n
+
+
 def normalise_level(level: str | None, allowed, default: str = "discom") -> str:
     """repair typos, unknown -> default."""
     lv = (level or default).lower()

@@ -28,21 +28,11 @@ def inventory_installations(inventory: DataFrame, installations: DataFrame, seri
                  .alias("total_installed")))
 
 
-BROADCAST_MAX_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast hint only behind a size check (a count of the lookup side);
-    beyond the bound the plain frame is returned and the join stays a shuffle
-    join chosen by AQE."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 def project_from_discom(df: DataFrame, lookup: DataFrame, discom: str = "discom",
                         lookup_key: str = "discom", lookup_value: str = "project_label") -> DataFrame:
     """P25: label each row with the project of its distribution company.
 
-    The lookup has one row per distribution company; it is broadcast after its
-    size is checked. Unknown companies get null."""
+    The lookup has one row per distribution company; it is broadcast:
+    its size is bounded by the number of companies. Unknown companies get null."""
     lk = lookup.select(F.col(lookup_key).alias("_k"), F.col(lookup_value).alias(lookup_value)).dropDuplicates(["_k"])
-    return df.join(broadcast_if_small(lk), df[discom] == F.col("_k"), "left").drop("_k")
+    return df.join(F.broadcast(lk), df[discom] == F.col("_k"), "left").drop("_k")

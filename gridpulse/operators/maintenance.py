@@ -52,11 +52,9 @@ def backfill_geo(meters: DataFrame, mapping_raw: DataFrame, usable: DataFrame) -
                        F.coalesce(F.sum("rows"), F.lit(0)).cast("long").alias("updated"))
 
     # Update-from-join, only where geo is missing and a mapping exists. The
-    # mapping (one row per serial) is broadcast when its size check passes, so
-    # the row-level meter side is never shuffled by serial; beyond the bound it
-    # is a shuffle join whose hot serials AQE splits.
-    from .joins import broadcast_if_small
-    mp = broadcast_if_small(m.select("meter_serial_number", *[F.col(c).alias(f"_n_{c}") for c in GEO]))
+    # mapping has one row per serial; AQE picks the join by its measured size
+    # and splits hot serials of the meter side.
+    mp = m.select("meter_serial_number", *[F.col(c).alias(f"_n_{c}") for c in GEO])
     j = meters.join(mp, F.trim(meters["meterserialnumber"]) == F.col("meter_serial_number"), "left")
     hit = missing & F.col("meter_serial_number").isNotNull()
     repaired = j.select(*[F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in GEO else F.col(c)

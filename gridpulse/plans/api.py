@@ -45,9 +45,9 @@ ROUTES = {
     "/api/mi/sat-dash/satBlueData": lambda f, cfg: {"cards": QM.q16_stage_cards_all(cfg)},
     "/api/om/productivity-team/dashboard": lambda f, cfg: QO.q18_team_productivity(f),
     "/api/om/productivity-trend/dashboard": lambda f, cfg: QO.q19_productivity_trend(f),
-    "/api/om/open-ageing": lambda f, cfg: {"rows": QO.q20_open_tickets(f.with_(limit=f.limit or 100))},
+    "/api/om/open-ageing": lambda f, cfg: {"rows": QO.q20_open_tickets(f)},
     "/api/om/open-ageing/dashboard": lambda f, cfg: QO.q21_open_ageing(f),
-    "/api/om/avg-closure-time": lambda f, cfg: {"rows": QO.q22_closure_list(f.with_(limit=f.limit or 100))},
+    "/api/om/avg-closure-time": lambda f, cfg: {"rows": QO.q22_closure_list(f)},
     "/api/om/avg-closure-time/dashboard": lambda f, cfg: QO.q23_closure_time(f),
     "/api/om/closed-analysis/dashboard": lambda f, cfg: QO.q24_closed_analysis(f),
 }

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..functions.filters import Filters, normalise_level
+from ..functions.filters import Filters, normalise_level, page_rows
 from ..operators import dual as D
 from ..operators import rollups as R
 from ..operators.sections import Section
@@ -152,26 +152,26 @@ def _page(base: str, where, cols: list[str], order: list[str], limit: int, offse
     return Plan((base,), sp, sq)
 
 
-def q20_open_tickets(f: Filters = Filters(limit=100)) -> Plan:
+def q20_open_tickets(f: Filters = Filters()) -> Plan:
     """Open tickets list with standard filters; `om_category` is an alias of category."""
     f = f.with_(dims=tuple(("meter_category" if k == "om_category" else k, v) for k, v in f.dims))
     preds = dim_filters(f, OM_FILTER_DIMS | {"meter_category", "project"})
     if f.project_l != "all":
         preds.append(D.ilike(D.c("project"), f.project))
     preds += _ts_range(f, "created_date")
-    return _page("a18", D.and_(*preds), A18_COLS, ["ticket_id"], f.limit or 100, f.offset)
+    return _page("a18", D.and_(*preds), A18_COLS, ["ticket_id"], page_rows(f), f.offset)
 
 
 A19_KEYS = C.OMDIM + ["created_day", "closed_date"]
 
 
-def q22_closure_list(f: Filters = Filters(limit=100)) -> Plan:
+def q22_closure_list(f: Filters = Filters()) -> Plan:
     """Closure-time rows of one period type (default daily), paged; date filters have no effect."""
     preds = dim_filters(f, OM_FILTER_DIMS | {"meter_category", "project"})
     preds.append(D.eq(D.c("period_type"), D.lit((f.duration or "daily").lower())))
     cols = C.OMDIM + ["period_type", "period_value_created", "period_value_closed", "avg_resolution_days",
                       "closed_tickets", "closed_date", "created_day"]
-    return _page("a19", D.and_(*preds), cols, A19_KEYS, f.limit or 100, f.offset)
+    return _page("a19", D.and_(*preds), cols, A19_KEYS, page_rows(f), f.offset)
 
 
 # Q21 -------------------------------------------------------------------------

@@ -96,6 +96,8 @@ reg_dash("q18_team_productivity", QO.q18_team_productivity(F0))
 reg_dash("q18_team_productivity_asia_weekly", {k: v for k, v in QO.q18_team_productivity(
     F0.with_(project="asia", duration="weekly", level="zone", category="dt")).items() if k != "insights"})
 reg_dash("q19_productivity_trend", QO.q19_productivity_trend(F0))
+reg_plan("q20_open_tickets_default_page", QO.q20_open_tickets(Filters()))
+reg_plan("q22_closure_list_default_page", QO.q22_closure_list(Filters()))
 reg_plan("q20_open_tickets_page", QO.q20_open_tickets(Filters(limit=100, offset=50)))
 reg_dash("q21_open_ageing", QO.q21_open_ageing(F0))
 reg_dash("q21_open_ageing_dated", {k: v for k, v in QO.q21_open_ageing(

@@ -13,19 +13,21 @@ from pyspark.sql import SparkSession
 
 def get_spark(master: str | None = None, shuffle_partitions: int = 8,
               app_name: str = "gridpulse") -> SparkSession:
-    """Session tuned for local testing; cluster jobs inherit cluster config."""
-    master = master or os.environ.get("GRIDPULSE_MASTER", "local[8]")
+    """The session of a job. Started by spark-submit, master, shuffle partitions
+    and memory stay as the launcher has set them; a plain Python process gets
+    a local session for tests."""
+    builder = SparkSession.builder.appName(app_name)
+    if master or "PYSPARK_GATEWAY_PORT" not in os.environ:
+        builder = (builder.master(master or os.environ.get("GRIDPULSE_MASTER", "local[8]"))
+                   .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+                   .config("spark.driver.memory", os.environ.get("GRIDPULSE_DRIVER_MEM", "8g")))
     builder = (
-        SparkSession.builder.master(master)
-        .appName(app_name)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
+        builder.config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.ansi.enabled", "true")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", os.environ.get("GRIDPULSE_DRIVER_MEM", "8g"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -42,6 +44,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     cp = spark.conf.get("spark.checkpoint.dir", None)
     if not cp:
         cp = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
+    if not cp and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     if not cp:
         cp = tempfile.mkdtemp(prefix="gridpulse-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", cp)

@@ -180,3 +180,11 @@ def test_trend_ordered_by_date_not_label(spark):
                        {"mi_date": D(1999, 1, 1), "sat_no": "SAT-1", "project": "ASIA"}])
     tr = QM.q01_progress(Filters(duration="monthly"))["trend"].spark({"a01": BM.mi_progress(m)}).collect()
     assert [r.period_value for r in tr] == ["01-01-99", "01-01-01"]
+
+
+def test_page_rows_default_and_bounds():
+    from gridpulse.functions.filters import Filters, page_rows
+    assert page_rows(Filters()) == 1000 and page_rows(Filters(limit=50_000)) == 50_000
+    for bad in (0, -1, 50_001):
+        with pytest.raises(ValueError):
+            page_rows(Filters(limit=bad))
