@@ -282,9 +282,9 @@ def test_line_dedup(docs_of, folder):
 
 def test_mixing(spark, docs_of, folder):
     rng = random.Random(6)
-    plain, bad, junk = ["sun", "moon", "tree", "sea"], ["fool", "idiot"], ["###", "$$$"]
+    plain, good, bad, junk = ["sun", "moon", "tree", "sea"], ["calm", "bright"], ["fool", "idiot"], ["###", "$$$"]
     text = lambda extra: " ".join(rng.choice(plain * 3 + extra * 2) for _ in range(60))
-    rows = [(i, text(bad if i % 4 == 0 else junk if i % 10 == 1 else [])) for i in range(400)] + [(None, text([])), (900, None), (901, ""), (7, text([])), (8, rows_text := text([])), (8, rows_text)]
+    rows = [(i, text(bad if i % 4 == 0 else junk if i % 10 == 1 else good)) for i in range(400)] + [(None, text(good)), (900, None), (901, ""), (7, text(good)), (8, rows_text := text(good)), (8, rows_text)]
     labels = spark.createDataFrame([(i, int(i % 10 != 1 or i % 4 == 0), int(i % 4 == 0)) for i in range(0, 200)] + [(5, 1, 0), (99_999, 0, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     weights = {"plain": 0.9, "toxic": 0.02, "junk": 0.08}
     rates = mixing.mix(docs_of(rows), labels, folder, weights=weights).collect()
