@@ -183,6 +183,8 @@ def test_trend_ordered_by_date_not_label(spark):
 
 
 def test_page_rows_default_and_bounds():
+    import pytest
+
     from gridpulse.functions.filters import Filters, page_rows
     assert page_rows(Filters()) == 1000 and page_rows(Filters(limit=50_000)) == 50_000
     for bad in (0, -1, 50_001):
