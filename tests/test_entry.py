@@ -10,7 +10,9 @@ def test_entry_runs(spark):
 
 def test_queries_and_oracles_align():
     q, o = E.queries(), E.oracle_sql()
-    assert set(o) == set(q) and len(q) >= 140
+    # corpus queries, where they are there, have SQL only as far as it can express them
+    corpus = {x for x in q if x.startswith("op") or x == "pipeline"}
+    assert set(q) - corpus == set(o) - corpus and set(o) <= set(q) and len(set(q) - corpus) >= 140
     assert all(isinstance(v, str) and v.lstrip().upper().startswith("WITH") for v in o.values())
 
 
