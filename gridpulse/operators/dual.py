@@ -165,16 +165,23 @@ def max_(x: E) -> E:
 # ---- post-aggregation arithmetic -------------------------------------------
 
 def r2_col(x):
-    """Round to 2 decimals on the binary value, ties away from zero, written as
-    plain IEEE arithmetic so every engine gives the same double."""
+    """Python's ``round(x, 2)``: on the exact binary value, ties to even.
+
+    100 * |x| may round in a double, so the side of k + 0.5 is decided on a
+    float and the rest: their products by 100 are exact, and so is the sign of
+    ``side``."""
     a = F.abs(x)
-    r = F.floor(a * F.lit(100.0) + F.lit(0.5)).cast("double") / F.lit(100.0)
-    return F.when(x < 0, -r).otherwise(r)
+    k = F.floor(a * F.lit(100.0))
+    high = a.cast("float").cast("double")
+    side = (high * F.lit(100.0) - (k.cast("double") + F.lit(0.5))) + (a - high) * F.lit(100.0)
+    up = (side > 0) | ((side == 0) & (k % 2 == 1))
+    r = (k + F.when(up, F.lit(1)).otherwise(F.lit(0))).cast("double") / F.lit(100.0)
+    return F.when(x < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) * r + F.lit(0.0)
 
 
 def r2_sql(x: str) -> str:
-    return (f"(CASE WHEN ({x}) < 0 THEN -1 ELSE 1 END * "
-            f"CAST(floor(abs({x}) * CAST(100 AS DOUBLE) + CAST(0.5 AS DOUBLE)) AS DOUBLE) / CAST(100 AS DOUBLE))")
+    """The same by another way: the printed decimal, which is rounded from the exact value."""
+    return f"(CAST(printf('%.2f', CAST({x} AS DOUBLE)) AS DOUBLE) + CAST(0 AS DOUBLE))"
 
 
 def pct2(num: E, den: E) -> E:
@@ -196,8 +203,22 @@ def round2(x: E) -> E:
 
 
 def ceil_days(x: E) -> E:
-    """Whole-day ceiling, null-safe."""
-    return E(lambda: F.ceil(x.col).cast("int"), f"CAST(ceil({x.sql}) AS INTEGER)")
+    """Whole-day ceiling, null-safe. Six decimals are kept first, so that
+    the order in which doubles are summed can't add a day."""
+    return E(lambda: F.ceil(F.round(x.col, 6)).cast("int"), f"CAST(ceil(round({x.sql}, 6)) AS INTEGER)")
+
+
+def mul(a: E, b: E) -> E:
+    return E(lambda: a.col * b.col, f"({a.sql} * {b.sql})")
+
+
+def not_null(x: E) -> E:
+    return E(lambda: x.col.isNotNull(), f"({x.sql} IS NOT NULL)")
+
+
+def sum_where(cond: E, x: E) -> E:
+    """Sum of x over the rows that meet cond, as a double; null if none does."""
+    return E(lambda: F.sum(F.when(cond.col, x.col)).cast("double"), f"CAST(SUM({x.sql}) FILTER (WHERE {cond.sql}) AS DOUBLE)")
 
 
 def ratio(num: E, den: E) -> E:

@@ -70,22 +70,21 @@ def productivity(base: str, keys: list, where, *, day: str, who: str, measure: s
 
 def performers(base: str, where, *, day: str, who: str, measure: str) -> Plan:
     """Top and lowest person by mean daily count. Ties: order is
-    (mean desc, name asc); top = first, lowest = last. Done with aggregates
-    (max/min of the mean, then min/max name among the tied), not a global sort."""
+    (mean desc, name asc); top = first, lowest = last. Done with
+    one aggregate over (-mean, name), not a global sort; unnamed rows take no part."""
     per_day = Section(where=where, group=[_n(who), _n(day)], aggs=[D.sum0(D.c(measure)).alias("_d")])
     per_who = Section(group=[_n(who)], aggs=[D.avg(D.c("_d")).alias("_avg")])
     scored = chain(base, per_day, per_who)
 
     def sp(d):
         from pyspark.sql import functions as F
-        s = scored.spark(d)
-        ext = s.agg(F.max("_avg").alias("hi"), F.min("_avg").alias("lo"))
-        top = (s.join(ext, s["_avg"] == ext["hi"]).agg(F.min(who).alias("name"), F.max("_avg").alias("v"))
-               .select(F.lit("top").alias("position"), "name", "v"))
-        low = (s.join(ext, s["_avg"] == ext["lo"]).agg(F.max(who).alias("name"), F.min("_avg").alias("v"))
-               .select(F.lit("lowest").alias("position"), "name", "v"))
-        return (top.unionByName(low).where(F.col("name").isNotNull())
-                .select("position", "name", D.r2_col(F.col("v")).alias("productivity_per_technician_per_day")))
+        best, worst = F.min(F.struct((-F.col("_avg")).alias("v"), who)), F.max(F.struct((-F.col("_avg")).alias("v"), who))
+        ends = scored.spark(d).where(F.col(who).isNotNull()).agg(best.alias("best"), worst.alias("worst"))
+        both = F.array(F.struct(F.lit("top").alias("position"), F.col("best").alias("e")),
+                       F.struct(F.lit("lowest").alias("position"), F.col("worst").alias("e")))
+        return (ends.select(F.explode(both).alias("x")).where(F.col("x.e").isNotNull())
+                .select("x.position", F.col(f"x.e.{who}").alias("name"),
+                        D.r2_col(-F.col("x.e.v")).alias("productivity_per_technician_per_day")))
 
     def sq(n):
         src = scored.sql(n)

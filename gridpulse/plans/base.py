@@ -76,14 +76,15 @@ def project_scope_om(f: Filters) -> D.E | None:
     return None if f.project_l == "all" else D.ilike(D.c("project"), f.project)
 
 
-def category_scope(f: Filters, restrict_three: bool, dt_aliases=False) -> D.E | None:
-    """F13."""
+def category_scope(f: Filters, restrict_three: bool, dt_rows: tuple = ()) -> D.E | None:
+    """F13. ``dt_rows``: the stored categories that the inputs dt and dtr stand
+    for; without them dt is DT and dtr is no category (§2.14 #16)."""
     mc = f.mapped_category
     cat = D.upper_trim(D.c("meter_category"))
-    if f.category_l == "dtr" and dt_aliases:
-        mc = "DT"
-    if mc == "DT" and dt_aliases:
-        return D.isin(cat, ["DT", "DTR"])
+    if f.category_l in ("dt", "dtr") and dt_rows:
+        return D.isin(cat, list(dt_rows))
+    if f.category_l == "dtr":
+        raise ValueError(f"invalid category {f.category!r}")
     if mc:
         return D.eq(cat, D.lit(mc))
     return D.isin(cat, C.CATEGORY_KEYS) if restrict_three else None
@@ -99,10 +100,13 @@ def date_range(f: Filters, col: str = "period_start") -> list:
     return out
 
 
-def mi_label(f: Filters, allowed, project_level: bool = False) -> D.E:
+def mi_label(f: Filters, allowed, project_level: bool = False, unknown_is_discom: bool = False) -> D.E:
     """P20 (MI): all + discom -> PROJECT; all + lower level -> 'PROJECT | level';
-    one project -> level; null level -> 'Unknown'."""
+    one project -> level; null level -> 'Unknown'. With ``unknown_is_discom`` a
+    level that isn't known compares discoms also over all projects (KPI 1)."""
     level = normalise_level(f.level, allowed)
+    if unknown_is_discom and f.level and not normalise_level(f.level, allowed, default=""):
+        return D.coalesce(D.c("discom"), D.lit("Unknown"))
     proj = D.upper_trim(D.c("project"))
     if f.project_l == "all" and (level == "discom" or (project_level and level == "project")):
         return proj

@@ -20,12 +20,12 @@ def _n(x):
     return D.c(x).alias(x)
 
 
-def _where(f: Filters, cfg, *, restrict_three, period_type=None, date_col="period_start", dt_aliases=False):
+def _where(f: Filters, cfg, *, restrict_three, period_type=None, date_col="period_start", dt_rows=()):
     preds = dim_filters(f, ALL_MI_COLS - {"project", "meter_category", "period_type"})
     if period_type:
         preds.append(D.eq(D.c("period_type"), D.lit(period_type)))
     preds.append(project_scope_mi(f, cfg))
-    preds.append(category_scope(f, restrict_three, dt_aliases))
+    preds.append(category_scope(f, restrict_three, dt_rows))
     if date_col:
         preds += date_range(f, date_col)
     return D.and_(*[p for p in preds if p is not None])
@@ -54,7 +54,8 @@ def q01_progress(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
     return {
         "total": single("a01", Section(where=w, aggs=[D.sum0(D.c("total_mi_progress")).alias("total_progress")])),
         "trend": single("a01", Section(where=w, group=_period_keys(), aggs=aggs, order=["period_start"])),
-        "comparison": single("a01", Section(where=w, group=_label(f), aggs=aggs, order=["label"])),
+        "comparison": single("a01", Section(where=w, group=[mi_label(f, C.MIDIM, unknown_is_discom=True).alias("label")], aggs=aggs,
+                                            order=["label"])),
     }
 
 
@@ -87,11 +88,10 @@ def _with_spine(plan: Plan, key: str, cols: list[str], f: Filters, zero_double=(
 
     def sp(d):
         df = plan.spark(d)
-        spark = df.sparkSession
-        spine = spark.range(1).select(F.explode(F.array(*[F.lit(k) for k in C.CATEGORY_KEYS])).alias(key))
-        missing = spine.join(df.select(key), on=key, how="left_anti")
-        z = missing.select(key, *[(F.lit(0.0) if c in zero_double else F.lit(0).cast("long")).alias(c) for c in cols])
-        return df.unionByName(z)
+        zero = {c: F.lit(0.0) if c in zero_double else F.lit(0).cast("long") for c in cols}
+        spine = df.sparkSession.range(1).select(F.explode(F.array(*[F.lit(k) for k in C.CATEGORY_KEYS])).alias(key))
+        both = df.select(key, *cols).unionByName(spine.select(key, *[zero[c].alias(c) for c in cols]))
+        return both.groupBy(key).agg(*[F.max(c).alias(c) for c in cols])  # no measure is below zero
 
     def sq(n):
         body = plan.sql(n)
@@ -247,32 +247,28 @@ JOURNEY = ["inventory_to_store", "store_to_agency", "agency_to_meter_installatio
 
 
 def _journey_section(f, w, group, order):
-    """R11+R13: per bucket and stage ceil(Σ day sums / Σ non-null counts); meter_count summed."""
+    """R11+R13: per bucket and stage the ceiled mean of the stored means, weighed by meter_count
+    where the mean is not null (§2.14 #5-6); ``<stage>_exact`` is the ceiled Σ day sums / Σ non-null
+    counts beside it; meter_count summed."""
     b, keys = D.bucket(f.category_l)
-    aggs, post = [], [_n(g.name) for g in group]
-    if b is None:
-        for s in JOURNEY:
-            aggs += [D.sum0(D.c(f"{s}_sum")).alias(f"_{s}_s"), D.sum0(D.c(f"{s}_n")).alias(f"_{s}_n")]
-            post.append(D.ceil_days(D.ratio(D.c(f"_{s}_s"), D.c(f"_{s}_n"))).alias(s))
-        aggs.append(D.sum0(D.c("meter_count")).alias("meter_count"))
-        post.append(_n("meter_count"))
-        return Section(where=w, group=group, aggs=aggs, post=post, order=order)
-    notnull = D.E(lambda: b.col.isNotNull(), f"({b.sql} IS NOT NULL)")
+    scopes = [("", D.lit(True))] if b is None else [(f"__{k}", D.eq(b, D.lit(k))) for k in keys] + [("__total", D.not_null(b))]
+    aggs, post, exact = [], [_n(g.name) for g in group], []
+    mc = D.c("meter_count")
     for s in JOURNEY:
-        for k in keys + ["total"]:
-            cond = notnull if k == "total" else D.eq(b, D.lit(k))
-            aggs += [D.sum_if0(cond, D.c(f"{s}_sum")).alias(f"_{s}_{k}_s"),
-                     D.sum_if0(cond, D.c(f"{s}_n")).alias(f"_{s}_{k}_n")]
-            post.append(D.ceil_days(D.ratio(D.c(f"_{s}_{k}_s"), D.c(f"_{s}_{k}_n"))).alias(f"{s}__{k}"))
-    for k in keys + ["total"]:
-        cond = notnull if k == "total" else D.eq(b, D.lit(k))
-        aggs.append(D.sum_if0(cond, D.c("meter_count")).alias(f"meter_count__{k}"))
-        post.append(_n(f"meter_count__{k}"))
-    return Section(where=w, group=group, aggs=aggs, post=post, order=order)
+        for tail, scope in scopes:
+            have = D.and_(scope, D.not_null(D.c(s)))
+            aggs += [D.sum_where(have, D.mul(D.c(s), mc)).alias(f"_{s}{tail}_d"), D.sum_where(have, mc).alias(f"_{s}{tail}_w"),
+                     D.sum_if0(scope, D.c(f"{s}_sum")).alias(f"_{s}{tail}_s"), D.sum_if0(scope, D.c(f"{s}_n")).alias(f"_{s}{tail}_n")]
+            post.append(D.ceil_days(D.ratio(D.c(f"_{s}{tail}_d"), D.c(f"_{s}{tail}_w"))).alias(f"{s}{tail}"))
+            exact.append(D.ceil_days(D.ratio(D.c(f"_{s}{tail}_s"), D.c(f"_{s}{tail}_n"))).alias(f"{s}_exact{tail}"))
+    for tail, scope in scopes:
+        aggs.append(D.sum_if0(scope, mc).alias(f"meter_count{tail}"))
+        post.append(_n(f"meter_count{tail}"))
+    return Section(where=w, group=group, aggs=aggs, post=post + exact, order=order)
 
 
 def q09_meter_journey(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
-    """KPI 9: stage means re-weighted exactly from day sums and counts, ceiled."""
+    """KPI 9: stage means weighed by meter count, ceiled; the exact means as second metrics."""
     dur = normalise_duration(f.duration, "daily")
     dur = "daily" if dur == "as_on" else dur
     w = _where(f, cfg, restrict_three=True, period_type=dur)
@@ -322,9 +318,9 @@ def q12_revenue_realized(f: Filters = Filters(), cfg: C.Config = C.DEFAULT, appl
 
 
 def q13_revenue_ageing(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
-    """KPI 13: four ages of uncollected revenue by buckets + total_pending."""
+    """KPI 13: four ages of uncollected revenue by buckets + total_pending; dtr is another name of dt."""
     dur = normalise_duration(f.duration, "monthly")
-    w = _where(f, cfg, restrict_three=False, period_type=dur, dt_aliases=True)
+    w = _where(f, cfg, restrict_three=False, period_type=dur, dt_rows=("DT",))
     m = {a: D.c(a) for a in AGE4}
     grand = [D.sum0(D.add(*[D.c(a) for a in AGE4])).alias("total_pending")]
     return {"summary": single("a15", _bucketed(f, w, [], m, grand, None)),
@@ -336,9 +332,10 @@ DEFECTS = [("total", None), ("burnt", C.DEFECT_BURNT), ("faulty", C.DEFECT_FAULT
 
 def q14_defective_meters(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
     """KPI 14: total/burnt/faulty/others (R20) by buckets; summary, period
-    breakdown (label normalised to YYYY-MM-DD, P22) and comparison."""
+    breakdown (label normalised to YYYY-MM-DD, P22) and comparison. dt and dtr
+    both take the stored DT and DTR."""
     dur = normalise_duration(f.duration, "monthly")
-    w = _where(f, cfg, restrict_three=False, period_type=dur, dt_aliases=True)
+    w = _where(f, cfg, restrict_three=False, period_type=dur, dt_rows=("DT", "DTR"))
     mc = D.c("meter_count")
     m = {}
     for name, t in DEFECTS:

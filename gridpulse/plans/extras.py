@@ -7,6 +7,7 @@ tables by fixed rules, so every query's work grows with the data.
 """
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -130,10 +131,33 @@ def _s08(spark, sf):
 def _s08_sql():
     return with_facts(select="""
 SELECT ticket_id, CAST(created_date AS DATE) AS created_day, CAST(closed_date AS DATE) AS closed_day,
-       CAST(date_trunc('week', created_date) AS DATE) AS created_week, strftime(created_date, '%b %Y') AS created_month
+       CAST(date_trunc('week', created_date) AS DATE) AS created_week, strftime(created_date, '%b %Y') AS created_month,
+       CAST(date_trunc('week', closed_date) AS DATE) AS closed_week, strftime(closed_date, '%b %Y') AS closed_month
 FROM complaints""")
 
 
+# S5 -------------------------------------------------------------------------------
+def _s05(spark, sf):
+    """Closed tickets as a closed file and all tickets as an open one, their times in two formats."""
+    def text(c):
+        return F.when(F.dayofmonth(c) % 2 == 0, F.date_format(c, "dd-MM-yyyy HH:mm:ss")).otherwise(
+            F.date_format(c, "yyyy-MM-dd HH:mm:ss"))
+    raw = bind_complaints(spark, sf).select("ticket_id", text("created_date").alias("CreatedDate"),
+                                            text("closed_date").alias("ClosedDate"))
+    closed = S.complaint_frame(raw.where(F.col("ClosedDate").isNotNull()), "CONSUMER", "closed")
+    both = S.align_and_concat([closed, S.complaint_frame(raw, "CONSUMER", "open")])
+    return both.select("ticket_id", "MeterCategory", "status", F.to_date("created_date").alias("created_day"),
+                       F.to_date("closed_date").alias("closed_day"))
+
+
+def _s05_sql():
+    return with_facts(select="""
+SELECT ticket_id, 'CONSUMER' AS "MeterCategory", 'closed' AS status, CAST(created_date AS DATE) AS created_day,
+       CAST(closed_date AS DATE) AS closed_day FROM complaints WHERE closed_date IS NOT NULL
+UNION ALL
+SELECT ticket_id, 'CONSUMER', 'open', CAST(created_date AS DATE), CAST(NULL AS DATE) FROM complaints""")
+
+
 # S12 ------------------------------------------------------------------------------
 def _s12(spark, sf):
     c = bind_complaints(spark, sf)
@@ -321,6 +345,7 @@ def register_all():
     from .queries_dash import reg_plan
     reg("s03_installation_staging", _s03, _s03_sql)
     reg("s04_inventory_staging", _s04, _s04_sql)
+    reg("s05_complaint_files", _s05, _s05_sql)
     reg("s06_mixed_date_parse", _s06, _s06_sql)
     reg("s07_align_concat", _s07, _s07_sql)
     reg("s08_time_enrichment", _s08, _s08_sql)
@@ -371,9 +396,8 @@ WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSI
     from .base import Plan
 
     def q28_spark(d):
-        a = loc.spark(d)
-        b = tot.spark(d).withColumnRenamed("month", "_m")
-        return a.join(b, a["month"].eqNullSafe(b["_m"])).drop("_m")
+        by_month = Window.partitionBy("month")  # over the small grouped rows
+        return loc.spark(d).withColumn("month_total", F.sum("installations").over(by_month))
 
     def q28_sql(n):
         return (f"SELECT a.*, b.month_total FROM ({loc.sql(n)}) a JOIN ({tot.sql(n)}) b "

@@ -137,3 +137,11 @@ reg_dash("q15_command_center_asia", QM.q15_command_center("asia"))
 from .extras import register_all as _register_extras  # noqa: E402
 
 _register_extras()
+
+# dimension filters with odd case and wildcards, dt and dtr, alias durations, typo and unknown levels
+reg_dash("q01_progress_dims", QM.q01_progress(F0.with_(dims=(("discom", "%Na%"),))))
+reg_dash("q01_progress_unknown_level", {"comparison": QM.q01_progress(F0.with_(level="block"))["comparison"]})
+reg_dash("q09_meter_journey_as_on", QM.q09_meter_journey(F0.with_(duration="latest_sat", level="divison")))
+reg_dash("q09_meter_journey_unknown_level", {"comparison": QM.q09_meter_journey(F0.with_(level="block"))["comparison"]})
+reg_dash("q13_revenue_ageing_dtr", QM.q13_revenue_ageing(F0.with_(category="dtr")))
+reg_dash("q14_defective_meters_dtr", QM.q14_defective_meters(F0.with_(category="dtr", duration="weekly")))

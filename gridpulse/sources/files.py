@@ -39,26 +39,39 @@ def inventory_staging(df: DataFrame, project_col: str = "project") -> DataFrame:
 
 # Complaint CSVs -------------------------------------------------------------
 COMPLAINT_CSV_RENAMES = {"FeederName": "Feeder", "DTRName": "DTR", "complaintBy": "ComplaintBy"}
-CLOSED_ONLY_COLUMNS = ["CreatedDate", "ClosedDate", "NewSmartMeterNumber", "ComplaintCategory"]
+CLOSED_ONLY_COLUMNS = ["ClosedDate", "NewSmartMeterNumber", "ComplaintCategory"]
+#: Tried in turn after the ISO forms.
+COMPLAINT_TIME_FORMATS = ("dd-MM-yyyy HH:mm:ss", "dd-MM-yyyy HH:mm", "dd-MM-yyyy", "dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy")
+
+
+def parse_mixed_timestamp(c, formats=COMPLAINT_TIME_FORMATS) -> Column:
+    """S6 for times: ISO, else the first format that parses; unparsable -> null."""
+    return F.coalesce(F.try_to_timestamp(col(c)), *[F.try_to_timestamp(col(c), F.lit(f)) for f in formats])
+
+
+def complaint_frame(df: DataFrame, category: str, status: str, formats=COMPLAINT_TIME_FORMATS) -> DataFrame:
+    """S5 (one frame of strings): variant headers renamed, columns that only
+    closed files have set to typed nulls in all others, tagged with category
+    and status, dates parsed. A frame without CreatedDate is an error."""
+    if "CreatedDate" not in df.columns:
+        raise ValueError("complaint file without CreatedDate")
+    for old, new in COMPLAINT_CSV_RENAMES.items():
+        if old in df.columns and new not in df.columns:
+            df = df.withColumnRenamed(old, new)
+    if status != "closed":
+        df = df.withColumns({c: F.lit(None).cast("string") for c in CLOSED_ONLY_COLUMNS})
+    return df.withColumns({"MeterCategory": F.lit(category), "status": F.lit(status),
+                           "created_date": parse_mixed_timestamp("CreatedDate", formats),
+                           "closed_date": parse_mixed_timestamp("ClosedDate", formats)})
 
 
 def read_complaint_csv(spark: SparkSession, path: str, category: str, status: str,
-                       header: list[str] | None = None) -> DataFrame:
-    """S5 (one file): all-string read, variant headers renamed, absent columns
-    added as typed nulls, tagged with category and status, dates parsed."""
+                       header: list[str] | None = None, formats=COMPLAINT_TIME_FORMATS) -> DataFrame:
+    """S5 (one file): all-string read, then :func:`complaint_frame`."""
     reader = spark.read.option("header", "true").option("mode", "PERMISSIVE")
     if header:
         reader = reader.schema(StructType([StructField(h, StringType()) for h in header]))
-    df = reader.csv(path)
-    for old, new in COMPLAINT_CSV_RENAMES.items():
-        if old in df.columns and new not in df.columns:
-            df = df.withColumnRenamed(old, new)
-    for c in CLOSED_ONLY_COLUMNS:
-        if c not in df.columns:
-            df = df.withColumn(c, F.lit(None).cast("string"))
-    return (df.withColumn("MeterCategory", F.lit(category)).withColumn("status", F.lit(status))
-            .withColumn("created_date", F.try_to_timestamp(F.col("CreatedDate")))
-            .withColumn("closed_date", F.try_to_timestamp(F.col("ClosedDate"))))
+    return complaint_frame(reader.csv(path), category, status, formats)
 
 
 def align_and_concat(frames: list[DataFrame]) -> DataFrame:
@@ -74,12 +87,12 @@ def read_complaint_files(spark: SparkSession, files: dict) -> DataFrame:
 
 
 def enrich_time(df: DataFrame, created="created_date", closed="closed_date") -> DataFrame:
-    """created/closed day, ISO week start of created, month label 'Mon YYYY'."""
-    return df.select(*df.columns,
-                     F.to_date(col(created)).alias("created_day"),
-                     F.to_date(col(closed)).alias("closed_day"),
-                     F.trunc(F.to_date(col(created)), "week").alias("created_week"),
-                     F.date_format(col(created), "MMM yyyy").alias("created_month"))
+    """Day, ISO week start and month label 'Mon YYYY' of created and closed."""
+    parts = {}
+    for name, c in (("created", created), ("closed", closed)):
+        parts |= {f"{name}_day": F.to_date(col(c)), f"{name}_week": F.to_date(F.trunc(F.to_date(col(c)), "week")),
+                  f"{name}_month": F.date_format(col(c), "MMM yyyy")}
+    return df.select(*df.columns, *[x.alias(n) for n, x in parts.items()])
 
 
 GEO_MAP_COLUMNS = ["meter_serial_number", "discom", "zone", "circle", "division", "subdivision"]

@@ -1,23 +1,42 @@
 """Sinks: full-refresh summary writer (S9) and column-aligned bulk writer."""
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
 def write_summary(df: DataFrame, path: str, partition_col: str | None = "period_type") -> None:
-    """Replace the summary atomically per job (overwrite commit protocol
-    instead of TRUNCATE + INSERT in one transaction). Period-typed summaries
-    are laid out by period_type (partition pruning for the dashboards) and
-    sorted by period_start inside files (min/max statistics for date ranges)."""
-    w = df
-    if "period_start" in df.columns:
-        w = w.sortWithinPartitions("period_start")
-    writer = w.write.mode("overwrite")
-    if partition_col and partition_col in df.columns:
-        writer = writer.partitionBy(partition_col)
-    writer.parquet(path)
+    """Full refresh. The new summary is written beside the live one and
+    takes its place by renaming once its job has committed: a job that fails
+    leaves the old summary as it is (readers between the two renames find none
+    and have to try again). Period-typed summaries are laid out by period_type
+    (partition pruning for the dashboards) and sorted by period_start inside
+    files (min/max statistics for date ranges)."""
+    part = partition_col if partition_col in df.columns else None
+    order = [c for c in (part, "period_start") if c and c in df.columns]
+    w = df.sortWithinPartitions(*order) if order else df
+    live, run = path.rstrip("/"), uuid.uuid4().hex[:12]
+    new, old = f"{live}.new-{run}", f"{live}.old-{run}"
+    spark = df.sparkSession
+    to_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = to_path(live).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        (w.write.partitionBy(part) if part else w.write).parquet(new)
+    except Exception:
+        fs.delete(to_path(new), True)
+        raise
+    had = fs.exists(to_path(live))
+    if had and not fs.rename(to_path(live), to_path(old)):
+        raise OSError(f"cannot replace {live}; the new summary is {new}")
+    if not fs.rename(to_path(new), to_path(live)):
+        if had:
+            fs.rename(to_path(old), to_path(live))
+        raise OSError(f"cannot replace {live}; the new summary is {new}")
+    if had:
+        fs.delete(to_path(old), True)
 
 
 def align_to_target(df: DataFrame, target: StructType, rename: dict | None = None) -> DataFrame:
