@@ -37,10 +37,10 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixture: each document with its rate's chance, at most once."""
+    """The mixture: each document with its rate's chance, at most once. Plain documents are to stay whole; the other domains are thinned to their weights."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     folder = run_folder(spark, "mix")
-    return draw(docs, written(mix(docs, labels, folder, max_rate=1.0), folder, "rates"))
+    return draw(docs, written(mix(docs, labels, folder, whole="plain", max_rate=1.0), folder, "rates"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

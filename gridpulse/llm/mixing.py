@@ -22,6 +22,10 @@ WEIGHTS = {"plain": 0.97, "toxic": 0.01, "junk": 0.02}
 FEATURES = 16_384
 #: Labelled rows that the classifier is fitted to, at most.
 MAX_LABELLED = 20_000
+#: Features count whose rate in a domain lies so many standard deviations from the rate in all labelled rows; the others are noise that adds up in long texts.
+LEAST_DEVIATION = 4.0
+#: Labelled rows of average content that each domain is smoothed with.
+SMOOTHING_ROWS = 10
 MAX_STEPS = 40
 TOLERANCE = 1e-4
 #: Words a posterior may rest on: the log odds of longer texts are scaled down to it.
@@ -37,8 +41,9 @@ def _feature(word: Column) -> Column:
 
 
 def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] = DOMAINS, max_labelled: int = MAX_LABELLED) -> tuple[list[float], list[list[float]]]:
-    """(log priors, log odds per feature against the first domain): naive Bayes over hashed words, smoothed.
+    """(log priors, log odds per feature against the first domain): naive Bayes over hashed words.
 
+    A domain's rate of a feature is smoothed towards the rate in all labelled rows, and is that rate unless it differs by ``LEAST_DEVIATION``.
     Fitted to at most ``max_labelled`` labelled rows, those with the smallest id hashes; the sample is so bounded that it may be broadcast.
     Without labelled rows all domains are equally likely.
     """
@@ -48,10 +53,16 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: dict[str, str] =
               .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled))
     texts = docs.select("doc_id", text_of().alias("t")).join(F.broadcast(sample), "doc_id").select("k", F.explode(F.array_distinct(F.transform(_words(F.col("t")), _feature))).alias("f"))
     seen = {(r.k, r.f): r["count"] for r in texts.groupBy("k", "f").count().collect()}  # at most domains * FEATURES
-    sizes = {r.k: r["count"] for r in sample.groupBy("k").count().collect()}
+    sizes = {r.k: r["count"] for r in docs.select("doc_id").join(F.broadcast(sample), "doc_id").groupBy("k").count().collect()}  # rows, as repeats count above
     n = sum(sizes.values())
     prior = [math.log((sizes.get(k, 0) + 1) / (n + len(names))) for k in range(len(names))]
-    chance = [[(seen.get((k, f), 0) + 0.5) / (sizes.get(k, 0) + 1) for f in range(FEATURES)] for k in range(len(names))]
+    chance = [[1.0] * FEATURES for _ in names]
+    for f in {f for _, f in seen}:
+        rate = sum(seen.get((k, f), 0) for k in range(len(names))) / n
+        for k in range(len(names)):
+            size, count = sizes.get(k, 0), seen.get((k, f), 0)
+            deviation = abs(count - size * rate) / math.sqrt(size * rate * (1 - rate) * (1 - size / n) + 0.25)
+            chance[k][f] = (count + SMOOTHING_ROWS * rate) / (size + SMOOTHING_ROWS) if deviation > LEAST_DEVIATION else rate
     return prior, [[math.log(c / b) for c, b in zip(chance[k], chance[0])] for k in range(1, len(names))]
 
 
@@ -91,11 +102,13 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
 
 
 def mix(docs: DataFrame, labels: DataFrame, folder: str, domains: dict[str, str] = DOMAINS, weights: dict[str, float] = WEIGHTS, total_tokens: float | None = None,
-        max_rate: float | None = None, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
+        whole: str | None = None, max_rate: float | None = None, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, h, n_tokens, posteriors, rate): one row per row of ``docs``; h is the text's hash, tokens are words.
 
     ``total_tokens``: tokens of the mixture; by default as many as the domain allows that is scarcest for its weight, so that this one keeps all it has.
-    ``max_rate``: an upper bound of the rates beside 0 (None: none). Null and blank texts have no tokens, the prior as posteriors, and keep rate 1, since no
+    ``whole``: the domain that keeps all it has instead, whatever the others have; a domain whose weight then asks for more than ``max_rate`` allows is to have
+    what that allows. ``max_rate``: an upper bound of the rates beside 0 (None: none). Bounded rates
+    may not reach the targets: the metric is then that of the first step throughout, so that every step goes down, and the steps end when the totals stand still. Null and blank texts have no tokens, the prior as posteriors, and keep rate 1, since no
     domain feels them. Null ids and repeated rows are rows like any other; labels of unknown documents are left out. An empty table gives no row.
     """
     if list(domains) != list(weights) or min(weights.values()) < 0 or sum(weights.values()) <= 0:
@@ -117,11 +130,21 @@ def mix(docs: DataFrame, labels: DataFrame, folder: str, domains: dict[str, str]
     rate, step = F.lit(1.0), 0
     expected, gram = sums(rate)
     w = [weights[n] / sum(weights.values()) for n in names]
+    if total_tokens is None and whole is not None:
+        total_tokens = expected[names.index(whole)] / w[names.index(whole)]
     if total_tokens is None:
         total_tokens = min((expected[j] / w[j] for j in range(k) if w[j] > 0 and expected[j] > 0), default=0.0)
     target = [total_tokens * x for x in w]
+    if whole is not None and max_rate is not None:
+        target = [min(t, max_rate * e) for t, e in zip(target, expected)]
+    metric, before = _inverse(gram), None
     while step < max_steps and max(abs(e - t) for e, t in zip(expected, target)) > tolerance * max(1.0, total_tokens):
-        gap, metric = [e - t for e, t in zip(expected, target)], _inverse(gram)
+        gap = [e - t for e, t in zip(expected, target)]
+        if max_rate is None:
+            metric = _inverse(gram)
+        elif before is not None and max(abs(g - b) for g, b in zip(gap, before)) <= tolerance * max(1.0, total_tokens):
+            break
+        before = gap
         pull = [sum(metric[i][j] * gap[j] for j in range(k)) for i in range(k)]
         rate = F.greatest(F.lit(0.0), rate - sum((s * F.lit(p) for s, p in zip(share, pull)), F.lit(0.0)))
         if max_rate is not None:
