@@ -299,5 +299,8 @@ def test_mixing(spark, docs_of, folder):
     n = collections.Counter(r["doc_id"] for r in drawn.collect())
     assert drawn.columns == docs_of([]).columns and max(v for k, v in n.items() if k not in (7, 8)) == 1
     assert sum(k is not None and k < 400 and k % 4 and k % 10 != 1 for k in n) > 0.97 * sum(i % 4 != 0 and i % 10 != 1 for i in range(400))
+    kept = {r["doc_id"]: r["rate"] for r in mixing.mix(docs_of(rows), labels, folder + "-whole", weights=weights, whole="plain", max_rate=1.0).collect()}
+    of = lambda toxic: [kept[i] for i in range(400) if (i % 4 == 0) == toxic and (toxic or i % 10 != 1)]
+    assert max(kept.values()) <= 1 and sum(of(False)) > 0.95 * len(of(False)) and sum(of(True)) < 0.2 * len(of(True))
     assert mixing.mix(docs_of([]), labels, folder + "-empty").count() == 0
     assert mixing.mix(docs_of(rows), labels.filter("false"), folder + "-none").count() == len(rows)
