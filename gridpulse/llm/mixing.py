@@ -4,16 +4,18 @@ A classifier fitted to the labelled rows gives every document its posteriors ove
 copies); projected-gradient least squares moves the rates, from 1 for all, until the expected tokens of each domain,
 sum over documents of rate * tokens * posterior, meet the targets. A step needs one distributed sum of as many numbers as there are domains; the
 rates themselves never leave the table. The residuals are weighted with the inverse Gram matrix of the domain token vectors, so that
-domains of very different size converge alike. Only DataFrame functions touch the rows.
+domains of very different size converge alike. With an upper bound of the rates the gradient steps are accelerated and end when a lower bound of the objective,
+found in the same sums, shows that the rates are the least-squares solution. Only DataFrame functions touch the rows.
 """
 from __future__ import annotations
 
 import math
+import warnings
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import free_name, run_folder, text_of, written
+from .common import free_name, remove, run_folder, text_of, written
 
 #: Domains by the labels table, and the share of the mixture's tokens each is to have.
 DOMAINS = {"plain": "quality = 1 and toxic = 0", "toxic": "toxic = 1", "junk": "quality = 0 and toxic = 0"}
@@ -28,6 +30,9 @@ LEAST_DEVIATION = 4.0
 SMOOTHING_ROWS = 10
 MAX_STEPS = 40
 TOLERANCE = 1e-4
+#: Bounded rates are the solution when the objective is proven to lie within this share of its smallest value (and of what the steps can gain); more steps than this are an error.
+OPTIMALITY = 0.005
+MAX_BOUNDED_STEPS = 1000
 #: Words a posterior may rest on: the log odds of longer texts are scaled down to it.
 EVIDENCE_WORDS = 400
 
@@ -101,14 +106,62 @@ def _inverse(m: list[list[float]]) -> list[list[float]]:
     return [row[n:] for row in a]
 
 
+def _dot(a: list[float], b: list[float]) -> float:
+    return sum(x * y for x, y in zip(a, b))
+
+
+def _bounded(rows: DataFrame, folder: str, target: list[float], expected: list[float], gram: list[list[float]], max_rate: float, max_steps: int, met: float) -> DataFrame:
+    """``rows`` with the rates from 0 to ``max_rate`` that are least squares for the targets: accelerated projected gradient, restarted when the objective goes up.
+
+    ``expected`` and ``gram`` are those of rate 1 for all; the metric is the inverse of ``gram`` throughout, so a step of 1 never overshoots. Every step is one sum,
+    which also gives the dual objective at the step's gradient: a lower bound of what any rates can reach. The steps end when the objective is within ``OPTIMALITY`` of the best
+    bound, or all totals within ``met`` of their targets; if ``max_steps`` come first, RuntimeError gives the residuals.
+    """
+    k, spark, metric = len(target), rows.sparkSession, _inverse(gram)
+    names = rows.columns
+    share = [F.col("n_tokens") * F.get("posteriors", j) for j in range(k)]
+
+    def objective(totals: list[float]) -> float:
+        gap = [e - t for e, t in zip(totals, target)]
+        return _dot(gap, [_dot(row, gap) for row in metric]) / 2
+
+    start = min(1.0, float(max_rate))
+    now = before = [start * e for e in expected]
+    rows = rows.select(*names, F.lit(start).alias("last"), F.lit(start).alias("rate"))
+    value = first = objective(now)
+    bound, inertia, step, table = 0.0, 1.0, 0, None  # no objective is below 0
+    while max(abs(e - t) for e, t in zip(now, target)) > met and value - bound > OPTIMALITY * min(value, first - bound) + 1e-9 * first:
+        if step == max_steps:
+            raise RuntimeError(f"mixing: rates are not least squares after {step} steps: objective {value:.6g}, lower bound {bound:.6g}, residual tokens {[e - t for e, t in zip(now, target)]}")
+        further = (1 + math.sqrt(1 + 4 * inertia * inertia)) / 2
+        beta = (inertia - 1) / further
+        gap = [e + beta * (e - b) - t for e, b, t in zip(now, before, target)]
+        pull = [_dot(row, gap) for row in metric]
+        # a projection of its own, so that a rate is computed once
+        rows = rows.select(*names, F.col("last").alias("older"), F.col("rate").alias("last"), sum((s * F.lit(p) for s, p in zip(share, pull)), F.lit(0.0)).alias("slope"))
+        rows = rows.select(*names, "last", "slope", F.least(F.lit(float(max_rate)), F.greatest(F.lit(0.0), F.col("last") + F.lit(beta) * (F.col("last") - F.col("older")) - F.col("slope"))).alias("rate"))
+        step += 1
+        if step % 10 == 0:  # the plan stays short
+            rows = written(rows, folder, f"rates-{step}")
+            if table is not None:
+                remove(spark, table)
+            table = f"{folder}/rates-{step}"
+        got = rows.agg(*(F.coalesce(F.sum(F.col("rate") * s), F.lit(0.0)) for s in share), F.coalesce(F.sum(F.least(F.lit(0.0), F.col("slope"))), F.lit(0.0))).first()
+        before, now = now, list(got[:k])
+        bound = max(bound, max_rate * got[k] - _dot(pull, gap) / 2 - _dot(pull, target))
+        inertia, value = 1.0 if objective(now) > value else further, objective(now)
+    return rows.select(*names, "rate")
+
+
 def mix(docs: DataFrame, labels: DataFrame, folder: str, domains: dict[str, str] = DOMAINS, weights: dict[str, float] = WEIGHTS, total_tokens: float | None = None,
-        whole: str | None = None, max_rate: float | None = None, max_steps: int = MAX_STEPS, tolerance: float = TOLERANCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
+        whole: str | None = None, max_rate: float | None = None, max_steps: int | None = None, tolerance: float = TOLERANCE, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(doc_id, h, n_tokens, posteriors, rate): one row per row of ``docs``; h is the text's hash, tokens are words.
 
     ``total_tokens``: tokens of the mixture; by default as many as the domain allows that is scarcest for its weight, so that this one keeps all it has.
     ``whole``: the domain that keeps all it has instead, whatever the others have; a domain whose weight then asks for more than ``max_rate`` allows is to have
     what that allows. ``max_rate``: an upper bound of the rates beside 0 (None: none). Bounded rates
-    may not reach the targets: the metric is then that of the first step throughout, so that every step goes down, and the steps end when the totals stand still. Null and blank texts have no tokens, the prior as posteriors, and keep rate 1, since no
+    may not reach the targets: they are then the least-squares solution in the metric of the first step, to ``OPTIMALITY``; RuntimeError if ``max_steps`` (by default ``MAX_BOUNDED_STEPS``)
+    don't get there. Without a bound a warning gives the residuals if ``max_steps`` (by default ``MAX_STEPS``) end short of the targets. Null and blank texts have no tokens, the prior as posteriors, and keep rate 1, since no
     domain feels them. Null ids and repeated rows are rows like any other; labels of unknown documents are left out. An empty table gives no row.
     """
     if list(domains) != list(weights) or min(weights.values()) < 0 or sum(weights.values()) <= 0:
@@ -122,7 +175,7 @@ def mix(docs: DataFrame, labels: DataFrame, folder: str, domains: dict[str, str]
 
     def sums(rate: Column) -> tuple[list[float], list[list[float]]]:
         """Expected tokens by domain, and the Gram matrix of the documents whose rates can still move."""
-        moves = (rate > 0) if max_rate is None else (rate > 0) & (rate < max_rate) | (rate == 1)
+        moves = rate > 0
         got = rows.agg(*(F.coalesce(F.sum(rate * s), F.lit(0.0)) for s in share),
                        *(F.coalesce(F.sum(F.when(moves, share[i] * share[j])), F.lit(0.0)) for i in range(k) for j in range(k))).first()
         return list(got[:k]), [list(got[k + i * k:2 * k + i * k]) for i in range(k)]
@@ -137,18 +190,18 @@ def mix(docs: DataFrame, labels: DataFrame, folder: str, domains: dict[str, str]
     target = [total_tokens * x for x in w]
     if whole is not None and max_rate is not None:
         target = [min(t, max_rate * e) for t, e in zip(target, expected)]
-    metric, before = _inverse(gram), None
-    while step < max_steps and max(abs(e - t) for e, t in zip(expected, target)) > tolerance * max(1.0, total_tokens):
+    met = tolerance * max(1.0, total_tokens)
+    if max_rate is not None:
+        return _bounded(rows, folder, target, expected, gram, max_rate, MAX_BOUNDED_STEPS if max_steps is None else max_steps, met)
+    max_steps = MAX_STEPS if max_steps is None else max_steps
+    while max(abs(e - t) for e, t in zip(expected, target)) > met:
         gap = [e - t for e, t in zip(expected, target)]
-        if max_rate is None:
-            metric = _inverse(gram)
-        elif before is not None and max(abs(g - b) for g, b in zip(gap, before)) <= tolerance * max(1.0, total_tokens):
+        if step == max_steps:
+            warnings.warn(f"mixing: targets not met after {step} steps; residual tokens {gap}", stacklevel=2)
             break
-        before = gap
+        metric = _inverse(gram)
         pull = [sum(metric[i][j] * gap[j] for j in range(k)) for i in range(k)]
         rate = F.greatest(F.lit(0.0), rate - sum((s * F.lit(p) for s, p in zip(share, pull)), F.lit(0.0)))
-        if max_rate is not None:
-            rate = F.least(F.lit(float(max_rate)), rate)
         step += 1
         if step % 10 == 0:  # the expression stays short
             rows, rate = written(rows.withColumn("rate", rate), folder, f"rates-{step}"), F.col("rate")

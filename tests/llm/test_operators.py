@@ -304,3 +304,32 @@ def test_mixing(spark, docs_of, folder):
     assert max(kept.values()) <= 1 and sum(of(False)) > 0.95 * len(of(False)) and sum(of(True)) < 0.2 * len(of(True))
     assert mixing.mix(docs_of([]), labels, folder + "-empty").count() == 0
     assert mixing.mix(docs_of(rows), labels.filter("false"), folder + "-none").count() == len(rows)
+
+
+def test_bounded_rates_are_least_squares(spark, docs_of, folder):
+    rng = random.Random(8)
+    plain, bad, junk = ["sun", "moon", "tree", "sea", "hill", "road"], ["fool", "idiot"], ["###", "$$$"]
+
+    def text(i):  # toxic and junk documents of very different lengths, most of their words plain
+        extra = bad if i % 4 == 0 else junk if i % 10 == 1 else plain
+        return " ".join(rng.choice(extra) if rng.random() < 0.04 else rng.choice(plain) for _ in range(min(2000, int(10 * rng.paretovariate(0.7)))))
+    rows = [(i, text(i)) for i in range(600)]
+    labels = spark.createDataFrame([(i, int(i % 10 != 1 or i % 4 == 0), int(i % 4 == 0)) for i in range(300)], "doc_id long, quality int, toxic int")
+    made = lambda name, **more: mixing.mix(docs_of(rows), labels, folder + name, whole="plain", max_rate=1.0, **more)
+    got = made("").collect()
+    a = np.array([[r["n_tokens"] * p for p in r["posteriors"]] for r in got]).T
+    totals, w = a.sum(1), np.array(list(mixing.WEIGHTS.values()))
+    target = np.minimum(w * totals[0] / w[0], totals)
+    metric = np.linalg.inv(a @ a.T)
+    value = lambda r: (a @ r - target) @ metric @ (a @ r - target)
+    best = last = np.ones(len(rows))
+    inertia = 1.0
+    for _ in range(5000):
+        further = (1 + (1 + 4 * inertia ** 2) ** 0.5) / 2
+        y = best + (inertia - 1) / further * (best - last)
+        new = np.clip(y - a.T @ (metric @ (a @ y - target)), 0, 1)
+        last, best, inertia = best, new, further if value(new) <= value(best) else 1.0
+    rates = np.array([r["rate"] for r in got])
+    assert 0 <= rates.min() and rates.max() <= 1 and value(rates) <= 1.01 * value(best) + 1e-9
+    with pytest.raises(RuntimeError, match="not least squares after 2 steps"):
+        made("-short", max_steps=2)
