@@ -33,6 +33,11 @@ FOUND = re.compile(r"""
 | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<c>[ -])\d{4}(?P=c)\d{4}(?P=c)\d{1,7}|\d{4}(?P<a>[ -])\d{6}(?P=a)\d{5})(?!\d))
 | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}(?P<q>[.-])\d{3}(?P=q)\d{4}(?!-?\d|\.\d))
 """, re.X | re.A)
+#: Letters and digits of an IBAN by country.
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 "
+    "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 "
+    "SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
 #: A text without any of these has nothing to find.
 MAY_HOLD = re.compile(r"\d|@")
 
@@ -161,21 +166,48 @@ def _secret(text, key, back):
     return permute_chars(text, [None] * lead + by_class(text[lead:]), key, "secret", back)
 
 
+def _iban_part(text):
+    """The IBAN that ``text`` begins with, by its country's length: upper-case words and numbers behind it look like further groups."""
+    length = IBAN_LENGTHS.get(text[:2])
+    if length is None:
+        return text
+    ends = [i + 1 for i, c in enumerate(text) if c != " "]
+    end = ends[length - 1] if len(ends) >= length else len(text)
+    return text if text[end:end + 1].isalnum() else text[:end]
+
+
 KINDS: dict[str, Callable] = {"email": _email, "secret": _secret, "iban": _iban, "date": _date, "ip": _ip, "ssn": _ssn, "card": _card, "phone": _phone}
 
 
+#: The kinds' own patterns.
+ONE = {kind: re.compile(FOUND.pattern[m.start():m.end()], re.X | re.A) for kind, m in
+       ((kind, re.search(rf"\(\?P<{kind}>.*", FOUND.pattern)) for kind in KINDS)}
+
+
 def pseudonymise(text: str, key: bytes, back: bool = False) -> tuple[str, list[tuple[str, int, int, str]]]:
-    """(new text, spans): a span is kind, start and end in the old text, and the pseudonym. What fails its check is left alone."""
+    """(new text, spans): a span is kind, start and end in the old text, and the pseudonym.
+
+    What fails its check is tried as the later kinds, then left alone, and the search goes on at its second character.
+    """
     if not MAY_HOLD.search(text):
         return text, []
-    out, spans, at = [], [], 0
-    for m in FOUND.finditer(text):
-        kind = next(k for k in KINDS if m[k])
-        new = KINDS[kind](m[0], key, back)
-        if new is not None:
-            out += [text[at:m.start()], new]
-            at = m.end()
-            spans.append((kind, m.start(), m.end(), new))
+    out, spans, at, m = [], [], 0, FOUND.search(text)
+    while m:
+        start, names = m.start(), list(KINDS)
+        first = next(i for i, k in enumerate(names) if m[k])
+        goes_on = start + 1
+        for kind in names[first:]:
+            found = m if kind == names[first] else ONE[kind].match(text, start)
+            if not found:
+                continue
+            old = _iban_part(found[0]) if kind == "iban" else found[0]
+            new = KINDS[kind](old, key, back)
+            if new is not None:
+                out += [text[at:start], new]
+                goes_on = at = start + len(old)
+                spans.append((kind, start, at, new))
+                break
+        m = FOUND.search(text, goes_on)
     return "".join([*out, text[at:]]), spans
 
 

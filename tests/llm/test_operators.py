@@ -333,3 +333,21 @@ def test_bounded_rates_are_least_squares(spark, docs_of, folder):
     assert 0 <= rates.min() and rates.max() <= 1 and value(rates) <= 1.01 * value(best) + 1e-9
     with pytest.raises(RuntimeError, match="not least squares after 2 steps"):
         made("-short", max_steps=2)
+
+
+@pytest.mark.parametrize("iban", ["ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "AT611904300234573201", "SE45 5000 0000 0583 9825 7466", "CZ65 0800 0000 1920 0014 5399",
+                                  "PL61 1090 1014 0000 0712 1981 2874", "GB82 WEST 1234 5698 7654 32", "NL91 ABNA 0417 1643 00", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("tail", ["", ",", " BIC CAIXESBB", " BIC: X", " 2024", " 2024-01-01", " EUR 100", " A", " Total", " 4111 1111 1111 1111"])
+def test_ibans_end_where_their_country_says(iban, tail):
+    key, text = pseudonyms.TEST_KEY, f"to {iban}{tail}"
+    new, spans = pseudonyms.pseudonymise(text, key)
+    kinds = ["iban"] + ["date"] * ("-01" in tail) + ["card"] * ("4111" in tail)
+    assert [s[0] for s in spans] == kinds and spans[0][1:3] == (3, 3 + len(iban))
+    assert spans[0][3] == pseudonyms.pseudonymise(iban, key)[0] != iban and pseudonyms.pseudonymise(new, key, back=True)[0] == text
+
+
+def test_search_goes_on_within_what_fails_its_check():
+    key = pseudonyms.TEST_KEY
+    for text, kinds in [("ID AB12 3456 DE89 3704 0044 0532 0130 00 end", ["iban"]), ("AB12 3456 2024-02-29", ["date"]), ("ES92 2100 0418 4502 0005 1332 2024-01-01", ["date"]), ("ES92 2100 0418 4502 0005 1332 BIC X", [])]:
+        new, spans = pseudonyms.pseudonymise(text, key)
+        assert [s[0] for s in spans] == kinds and pseudonyms.pseudonymise(new, key, back=True)[0] == text, text
