@@ -4,7 +4,9 @@ Lines with a word are hashed. From each line starts a gram: the lines from it up
 holds the grams that start within ``min_words - gram_words`` words; its smallest gram hash is a fingerprint. A window depends only on the
 ``min_words`` words it covers, so a run of lines with that many words that occurs in two places gives at least one common fingerprint. A
 fingerprint's later positions are joined with its first one (a star: linear in the positions, never all pairs), matches are
-extended line by line both ways, and the later run is deleted. The first copy stays. Only DataFrame functions are used.
+extended line by line both ways, and the later run is deleted. That first one may stand in another context, so each fingerprint also carries
+the hashes of the windows that picked it, which are joined with their own first position when the fingerprint repeats. The first copy stays. Only
+DataFrame functions are used.
 """
 from __future__ import annotations
 
@@ -38,6 +40,16 @@ def repeated_lines(docs: DataFrame, folder: str, id_column: str = "doc_id", text
     doc = Window.partitionBy("i", "h")
     lines = lines.withColumn("before", F.sum("words").over(doc.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
     by_words, reach, line = doc.orderBy("before"), min_words + gram_words, F.struct("hash", "pos")
+    # windows from a line: the shortest with min_words, and those that go on to a line that ends fewer than min_words behind this one; any longer run is made of them
+    ends = doc.orderBy("end")
+    lines = (lines.withColumn("end", F.col("before") + F.col("words"))
+             .withColumn("whole", F.collect_list(line).over(ends.rangeBetween(0, min_words - 1)))
+             .withColumn("over", F.collect_list(line).over(by_words.rangeBetween(0, min_words - 1)))
+             .withColumn("full", F.sum("words").over(by_words.rangeBetween(0, min_words - 1)) >= min_words)
+             .withColumn("most", F.when(F.size("whole") > F.size("over"), F.col("whole")).otherwise(F.col("over")))
+             .withColumn("wins", F.when(F.col("full"), F.transform(F.sequence(F.size("over"), F.size("most")), lambda n: F.struct(
+                 F.xxhash64(F.transform(F.slice("most", 1, n), lambda x: x["hash"])).alias("key"), F.transform(F.slice("most", 1, n), lambda x: x["pos"]).alias("at")))))
+             .drop("end", "whole", "over", "full", "most"))
     lines = (lines.withColumn("left", F.collect_list(line).over(by_words.rangeBetween(-reach, -1)))
              .withColumn("right", F.collect_list(line).over(by_words.rangeBetween(0, reach)))
              .withColumn("n", F.count("*").over(by_words.rangeBetween(0, gram_words - 1)).cast("int"))
@@ -47,17 +59,26 @@ def repeated_lines(docs: DataFrame, folder: str, id_column: str = "doc_id", text
     span = min_words - gram_words
     least = F.min(F.when(F.col("gram").isNotNull(), F.struct("gram", "before"))).over(by_words.rangeBetween(0, span))
     lines = lines.withColumn("least", least)
-    lines = lines.withColumn("picks", F.collect_set("least.before").over(by_words.rangeBetween(-span, 0)))
-    prints = written(lines.filter("gram is not null and array_contains(picks, before)").select("i", "h", "pos", "gram", "n", "left", "right"), folder, "prints")
+    picked = F.collect_list(F.when(F.col("least").isNotNull(), F.struct(F.col("least.before").alias("before"), "wins"))).over(by_words.rangeBetween(-span, 0))
+    lines = lines.withColumn("picks", F.filter(picked, lambda x: x["before"] == F.col("before")))
+    wins = F.flatten(F.transform("picks", lambda x: F.coalesce(x["wins"], F.array().cast("array<struct<key:bigint,at:array<int>>>")))).alias("wins")
+    prints = written(lines.filter("gram is not null and size(picks) > 0").select("i", "h", "pos", "gram", "n", "left", "right", wins), folder, "prints")
     # combined before the shuffle: a passage in a third of all documents is one row a task
     first = (prints.groupBy("gram").agg(F.min(F.struct("i", "h", "pos", "left", "right")).alias("first"), F.count("*").alias("times")).filter("times > 1")
              .select("gram", "first"))
     first = written(first, folder, "first")
-    met = prints.join(first.hint("merge"), "gram").filter(~(F.col("i").eqNullSafe(F.col("first.i")) & (F.col("h") == F.col("first.h")) & (F.col("pos") == F.col("first.pos"))))
-    met = (met.withColumn("after", _common(F.col("right"), F.col("first.right"))).filter("after >= n")  # the gram itself is compared, too
+    later = ~(F.col("i").eqNullSafe(F.col("first.i")) & (F.col("h") == F.col("first.h")) & (F.col("pos") == F.col("first.pos")))
+    met = (prints.join(first.hint("merge"), "gram").withColumn("after", _common(F.col("right"), F.col("first.right")))
            .withColumn("ahead", _common(F.reverse("left"), F.reverse("first.left"))))
     gone = F.concat(F.slice(F.reverse("left"), 1, F.col("ahead")), F.slice("right", 1, F.col("after")))
-    gone = met.select("i", "h", F.explode(F.transform(gone, lambda x: x["pos"])).alias("pos")).distinct()
+    gone = F.when(later & (F.col("after") >= F.col("n")), F.transform(gone, lambda x: x["pos"]))  # the gram itself is compared, too
+    met = written(met.select("i", "h", gone.alias("gone"), "wins"), folder, "met")
+    # the windows of repeated fingerprints: again a star, on the first position of the whole window
+    wins = met.select("i", "h", F.explode("wins").alias("win")).select("i", "h", F.col("win.key").alias("key"), F.col("win.at").alias("at"))
+    place = F.struct("i", "h", F.get("at", 0).alias("pos"))
+    first = written(wins.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("times")).filter("times > 1").select("key", "first"), folder, "first-windows")
+    again = wins.join(first.hint("merge"), "key").filter(~(F.col("i").eqNullSafe(F.col("first.i")) & (F.col("h") == F.col("first.h")) & (F.get("at", 0) == F.col("first.pos"))))
+    gone = met.select("i", "h", F.explode("gone").alias("pos")).union(again.select("i", "h", F.explode("at").alias("pos"))).distinct()
     return gone.groupBy("i", "h").agg(F.collect_list("pos").alias("gone"))
 
 
@@ -66,7 +87,8 @@ def line_dedup(docs: DataFrame, folder: str, id_column: str = "doc_id", text_col
     """``docs`` with the text rid of later repeated runs, and the number of deleted lines (``n_deleted``, with underscores added if that name is taken).
 
     The order of documents is that of (id, text hash), null ids first; rows with equal ids and texts are one document and all
-    stay, edited alike. Runs of fewer than ``gram_words`` words always stay; every run of ``min_words`` or more words is found. Lines are compared
+    stay, edited alike. Runs of fewer than ``gram_words`` words always stay; every run of ``min_words`` or more words that stands earlier in the documents as they come is deleted whole,
+    wherever its parts occur besides. Deletions may make lines neighbours that were none; runs that arise so are not searched for. Lines are compared
     without white space at their ends; lines without a word are never deleted. A null text stays null; a document may end up empty.
     """
     gone = repeated_lines(docs, folder, id_column, text_column, min_words, gram_words)

@@ -351,3 +351,26 @@ def test_search_goes_on_within_what_fails_its_check():
     for text, kinds in [("ID AB12 3456 DE89 3704 0044 0532 0130 00 end", ["iban"]), ("AB12 3456 2024-02-29", ["date"]), ("ES92 2100 0418 4502 0005 1332 2024-01-01", ["date"]), ("ES92 2100 0418 4502 0005 1332 BIC X", [])]:
         new, spans = pseudonyms.pseudonymise(text, key)
         assert [s[0] for s in spans] == kinds and pseudonyms.pseudonymise(new, key, back=True)[0] == text, text
+
+
+def test_line_dedup_finds_runs_whose_parts_stand_elsewhere(docs_of, folder):
+    rng = random.Random(11)
+    fresh = iter(range(10 ** 6))
+    line = lambda n: " ".join(f"{rng.choice('abcdefgh')}{next(fresh)}" for _ in range(n))
+    rows, whole = [], []
+    for case in range(40):
+        x, g1, y, g2, z = ([line(n)] for n in (20, 26, 20, 26, 20))
+        rows += [(1000 + case, "\n".join([line(6), *g1, line(5)])), (2000 + case, "\n".join([line(7), *g2, line(4)]))]
+        whole.append([*x, *g1, *y, *g2, *z])
+    for case in range(10):  # a line longer than the window stands alone earlier, with a tail of under 50 words behind it
+        wide, tail = line(rng.choice([60, 90])), [line(12) for _ in range(rng.randint(1, 4))]
+        rows.append((3000 + case, wide))
+        whole.append([wide, *tail])
+    rows += [(4000 + 10 * i + j, "\n".join([line(3), *w, line(2)])) for i, w in enumerate(whole) for j in range(3)]
+    got = {r["doc_id"]: r["text"].split("\n") for r in linededup.line_dedup(docs_of(rows), folder).collect()}
+    for i, w in enumerate(whole):
+        for j in (1, 2):
+            assert not set(w) & set(got[4000 + 10 * i + j]), (i, j)
+            assert len(got[4000 + 10 * i + j]) == 2
+    left = {x for lines in got.values() for x in lines}
+    assert all(x in left for _, t in rows for x in t.split("\n"))
