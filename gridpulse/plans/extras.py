@@ -26,7 +26,7 @@ from ..sources import incremental as INC
 from ..sources.fixtures import as_ctes, bind_complaints, bind_meters, with_facts
 from . import dashboards_mi as QM
 from . import dashboards_om as QO
-from .base import merged, single
+from .base import Plan, merged, single
 from .registry import REGISTRY
 
 
@@ -341,6 +341,52 @@ FROM a1 WHERE period_type = 'monthly' AND UPPER(TRIM(project)) IN ({projects})
 GROUP BY ROLLUP (period_start, meter_category, new_meter_type)""")
 
 
+def _nested(base, keys, values, where=None, row_total=False):
+    """Sums of ``values`` (name -> column) by all of ``keys`` and by each shorter prefix, null keys as ``Unknown``;
+    ``level`` counts the keys that a total leaves out. ``row_total`` adds the sum of all values as ``total``."""
+    sets = [keys[:n] for n in range(len(keys), 0, -1)]
+
+    def sp(d):
+        rows = d[base] if where is None else d[base].where(where.col)
+        rows = rows.select(*[F.coalesce(F.col(k).cast("string"), F.lit("Unknown")).alias(k) for k in keys],
+                           *[F.coalesce(F.col(c), F.lit(0)).alias(f"_{v}") for v, c in values.items()])
+        sums = {v: F.sum(f"_{v}").cast("long") for v in values}
+        if row_total:
+            sums["total"] = F.sum(sum((F.col(f"_{v}") for v in values), F.lit(0))).cast("long")
+        return (rows.groupingSets([[F.col(k) for k in x] for x in sets], *[F.col(k) for k in keys])
+                .agg(*[e.alias(v) for v, e in sums.items()], F.grouping_id().cast("int").alias("id"))
+                .select(*keys, *sums, F.bit_count("id").cast("int").alias("level")))
+
+    def sq(n):
+        parts = []
+        for x in sets:
+            cols = [f"COALESCE(CAST({k} AS VARCHAR), 'Unknown') AS {k}" if k in x else f"CAST(NULL AS VARCHAR) AS {k}" for k in keys]
+            cols += [f"CAST(SUM(COALESCE({c}, 0)) AS BIGINT) AS {v}" for v, c in values.items()]
+            if row_total:
+                cols.append(f"CAST(SUM({' + '.join(f'COALESCE({c}, 0)' for c in values.values())}) AS BIGINT) AS total")
+            cond = "" if where is None else f" WHERE {where.sql}"
+            parts.append(f"SELECT {', '.join(cols)}, {len(keys) - len(x)} AS level FROM {n[base]}{cond} "
+                         f"GROUP BY {', '.join(str(i + 1) for i in range(len(x)))}")
+        return " UNION ALL ".join(parts)
+    return Plan((base,), sp, sq)
+
+
+def _q27_periods():
+    """KPI 2's list with the contract's period columns (ISO days)."""
+    order = ["installation_date"] + C.MIDIM + ["technician"]
+    page = QO._page("a02", D.and_(), order + ["total_installations"], order, 100, 0)
+
+    def sp(d):
+        return page.spark(d).select(*C.MIDIM, "technician", F.lit("daily").alias("period_type"),
+                                    F.date_format("installation_date", "yyyy-MM-dd").alias("period_value"),
+                                    F.col("total_installations").alias("daily_installations"))
+
+    def sq(n):
+        return (f"SELECT {', '.join(C.MIDIM)}, technician, 'daily' AS period_type, strftime(installation_date, '%Y-%m-%d') AS period_value, "
+                f"total_installations AS daily_installations FROM ({page.sql(n)})")
+    return Plan(("a02",), sp, sq)
+
+
 def register_all():
     from .queries_dash import reg_plan
     reg("s03_installation_staging", _s03, _s03_sql)
@@ -382,6 +428,22 @@ WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSI
     reg_plan("q29_non_sat_list_page", QO._page(
         "a07", D.and_(), C.MIDIM + ["meter_serial_number", "installation_date", "ageing_days"],
         ["ageing_days", "meter_serial_number", "installation_date"] + C.MIDIM, 100, 0))
+    by_period = ["period_type", "period_start"] + C.MIDIM
+    period = C.MIDIM + ["period_type", "period_value", "period_start"]
+    reg_plan("q29_inventory_list_page", QO._page(
+        "a04", D.and_(), period + ["total_inventory", "total_installed", "utilization_rate_pct", "remaining_stock"], by_period, 100, 0))
+    reg_plan("q29_mi_vs_sat_list_page", QO._page(
+        "a06", D.and_(), period + ["total_mi", "total_sat", *BM.SAT_COLS, "sat_progress_pct"], by_period, 100, 0))
+    reg_plan("q29_journey_list_page", QO._page(
+        "a08", D.eq(D.c("period_type"), D.lit("daily")), period + BM.JOURNEY_NAMES + ["meter_count"], by_period, 100, 0))
+    stock = {a: a for a in BM.AGE4}
+    reg_plan("q29_stock_ageing_nested_category", _nested("a05", ["meter_category", "new_meter_type"], stock, row_total=True))
+    reg_plan("q29_stock_ageing_nested_period", _nested("a05", ["period_value", "meter_category", "new_meter_type"], stock, row_total=True))
+    # R7 with the helper's labels and without the grand total, both forms.
+    monthly, progress = D.eq(D.c("period_type"), D.lit("monthly")), {"total": "total_mi_progress"}
+    reg_plan("r07_nested_category", _nested("a01", ["meter_category", "new_meter_type"], progress, monthly))
+    reg_plan("r07_nested_period", _nested("a01", ["period_value", "meter_category", "new_meter_type"], progress, monthly))
+    reg_plan("q27_technician_period_list_page", _q27_periods())
     reg_plan("q30_closed_analysis_list_page", QO._page(
         "a20", D.and_(), ["period_type", "period_value", "closed_date", "closed_tickets", "project", "discom", "zone",
                           "circle", "division", "subdivision", "feeder", "dtr", "meter_category", "complaint_type",
@@ -393,8 +455,6 @@ WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSI
     loc = single("a02", Section(group=[month.alias("month"), D.c("project").alias("project"), D.c("discom").alias("discom")],
                                 aggs=[D.sum0(D.c("total_installations")).alias("installations")]))
     tot = single("a02", Section(group=[month.alias("month")], aggs=[D.sum0(D.c("total_installations")).alias("month_total")]))
-    from .base import Plan
-
     def q28_spark(d):
         by_month = Window.partitionBy("month")  # over the small grouped rows
         return loc.spark(d).withColumn("month_total", F.sum("installations").over(by_month))
@@ -413,7 +473,7 @@ WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSI
 
 
 def q33_series(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
-    """Documented period series (§2.14 #20): KPI 7 rolled from daily to month
+    """Documented period series (§2.14 #20): KPI 7 rolled from daily to month and week
     on the fly, KPI 9 re-weighted (R11), KPIs 11-13 by their stored month."""
     mk = lambda base, where, measures, grand=(): single(base, QM._bucketed(
         f, where, [D.trunc(D.c("period_start"), "month").alias("period_start")], measures, list(grand), ["period_start"]))
@@ -428,4 +488,7 @@ def q33_series(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
     }
     w9 = QM._where(f, cfg, restrict_three=True, period_type="monthly")
     out["kpi09_journey"] = single("a08", QM._journey_section(f, w9, [QM._n("period_start")], ["period_start"]))
+    out["kpi07_mi_vs_sat_weekly"] = single("a06", QM._bucketed(
+        f, w_all, [D.trunc(D.c("period_start"), "week").alias("period_start")],
+        {"total_mi": D.c("total_mi"), "total_sat": D.c("total_sat")}, [], ["period_start"]))
     return out

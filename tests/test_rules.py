@@ -113,3 +113,18 @@ def test_write_aligned(spark):
     sinks.write_aligned(spark.createDataFrame([("1", 2, 3)], "A string, x int, y int"), target, path, rename={"x": "B"})
     back = spark.read.parquet(path)
     assert [tuple(r) for r in back.collect()] == [(1, "2", None)] and back.columns == ["a", "b", "c"]
+
+
+def test_nested_breakdown_totals_and_unknown(spark):
+    from gridpulse.plans import extras
+    rows = spark.createDataFrame([("C", "1P", 1, 2), ("C", "1P", 3, None), ("C", None, 5, 0), (None, "1P", 7, 1), ("Unknown", "1P", 1, 1)], "cat string, typ string, x int, y int")
+    plan = extras._nested("base", ["cat", "typ"], {"x": "x", "y": "y"}, row_total=True)
+    got = {tuple(r) for r in plan.spark({"base": rows}).select("cat", "typ", "x", "y", "total", "level").collect()}
+    assert got == {("C", "1P", 4, 2, 6, 0), ("C", "Unknown", 5, 0, 5, 0), ("C", None, 9, 2, 11, 1), ("Unknown", "1P", 8, 2, 10, 0), ("Unknown", None, 8, 2, 10, 1)}
+
+
+def test_documented_lists_and_grains_are_registered():
+    from gridpulse.plans import registry
+    registry.load_all()
+    assert {"q27_technician_period_list_page", "q29_inventory_list_page", "q29_mi_vs_sat_list_page", "q29_journey_list_page", "q29_stock_ageing_nested_category",
+            "q29_stock_ageing_nested_period", "q33_kpi07_mi_vs_sat_weekly_series", "r07_nested_category", "r07_nested_period"} <= set(registry.REGISTRY)
