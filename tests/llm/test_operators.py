@@ -374,3 +374,10 @@ def test_line_dedup_finds_runs_whose_parts_stand_elsewhere(docs_of, folder):
             assert len(got[4000 + 10 * i + j]) == 2
     left = {x for lines in got.values() for x in lines}
     assert all(x in left for _, t in rows for x in t.split("\n"))
+
+
+def test_line_dedup_takes_white_space_at_line_ends_for_nothing(docs_of, folder):
+    lines = [" ".join(f"w{i}x{j}" for j in range(12)) for i in range(6)]
+    rows = [(1, "\n".join(lines)), (2, "\r\n".join(["first", *lines, "last"])), (3, "\n".join(f"\t\x0b{x} \t\x0c" for x in lines))]
+    got = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in linededup.line_dedup(docs_of(rows), folder).collect()}
+    assert got == {1: (rows[0][1], 0), 2: ("first\r\nlast", 6), 3: ("", 6)}
