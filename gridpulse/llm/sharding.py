@@ -60,15 +60,21 @@ def place(df: DataFrame, keys: list[str], shards: tuple[str, ...] = SHARDS, size
     return df.withColumn(slot, F.pmod(key, F.lit(size).cast("long"))).join(F.broadcast(table), slot).select(*df.columns, slot, shard)
 
 
-def write_shards(df: DataFrame, folder: str, keys: list[str], shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 4) -> str:
-    """Write ``df`` as one folder of Parquet files per shard; a shard is dealt over ``files_per_shard`` tasks by its slots."""
+def write_shards(df: DataFrame, folder: str, keys: list[str], shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 4) -> DataFrame:
+    """Write ``df`` as one folder of Parquet files per shard, and return what was written, with slot and shard.
+
+    A shard is dealt over ``files_per_shard`` tasks by a hash of the whole rows (columns of maps and variants aside), so the rows of a hot key are spread, too; rows equal throughout stay together.
+    """
     placed = place(df, keys, shards, size)
-    slot, shard = placed.columns[-2:]
-    placed.repartition(len(shards) * files_per_shard, F.col(shard), F.pmod(slot, F.lit(files_per_shard))).drop(slot).write.partitionBy(shard).parquet(folder)
-    return folder
+    shard = placed.columns[-1]
+    whole = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+    file = F.pmod(F.xxhash64(F.lit("file"), *whole), F.lit(files_per_shard).cast("long"))
+    number = F.array_position(F.split(F.lit("\n".join(sorted(shards))), "\n"), F.col(shard)) - 1
+    placed.repartitionById(len(shards) * files_per_shard, (number * files_per_shard + file).cast("int")).write.partitionBy(shard).parquet(folder)
+    return df.sparkSession.read.schema(placed.schema).parquet(folder).select(*placed.columns)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slot and shard of every document by its id."""
-    run_folder(spark, "sharding")
-    return place(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source"), ["doc_id"])
+    """Slot and shard of every document by its id, as read back from the shards that the whole documents were written to."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return write_shards(docs, run_folder(spark, "sharding"), ["doc_id"]).select("doc_id", "source", "slot", "shard")

@@ -381,3 +381,15 @@ def test_line_dedup_takes_white_space_at_line_ends_for_nothing(docs_of, folder):
     rows = [(1, "\n".join(lines)), (2, "\r\n".join(["first", *lines, "last"])), (3, "\n".join(f"\t\x0b{x} \t\x0c" for x in lines))]
     got = {r["doc_id"]: (r["text"], r["n_deleted"]) for r in linededup.line_dedup(docs_of(rows), folder).collect()}
     assert got == {1: (rows[0][1], 0), 2: ("first\r\nlast", 6), 3: ("", 6)}
+
+
+def test_shards_are_written_whole_and_hot_keys_spread(spark, docs_of, folder):
+    rows = [(i, f"text {i}") for i in range(400)] + [(1, "text 1"), (None, "t"), (7, None)]
+    df, shards = docs_of(rows), ("b", "a", "c")
+    got = sharding.write_shards(df, folder, ["source"], shards, 101, files_per_shard=4)  # one source: all rows have one key
+    assert sorted(map(repr, got.select(*df.columns).collect())) == sorted(map(repr, df.collect()))
+    placed = sharding.place(df, ["source"], shards, 101)
+    assert {(r["slot"], r["shard"]) for r in got.collect()} == {(r["slot"], r["shard"]) for r in placed.collect()} and len({r["shard"] for r in got.collect()}) == 1
+    sizes = [n for _, n in got.selectExpr("input_file_name() as f").groupBy("f").count().collect()]
+    assert len(sizes) == 4 and max(sizes) < 150
+    assert sharding.write_shards(df.filter("false"), folder + "-empty", ["source"], shards, 101).count() == 0
