@@ -92,8 +92,8 @@ def top_k(vectors: DataFrame, folder: str, id_column: str = "vec_id", vector_col
 
     A component x counts as floor(scale * x). ``query_filter`` is a condition on ``id``. All rows are candidates but those with the query's own id.
     Rows with a null id, a null vector or a null, NaN or infinite component take no part; vectors are compared with those of their own length only, empty
-    vectors with none. An id that repeats with equal vectors is one candidate; with other vectors each is a candidate, and as a query the smallest vector stands for
-    the id. Other columns are not read. An empty table gives no row.
+    vectors with none. An id may repeat: every row is a query and a candidate of its own, but never a candidate for its own id, and the ``k`` best of an id are those
+    of all its query rows together, as in the registered SQL. Other columns are not read. An empty table gives no row.
     """
     spark = vectors.sparkSession
     x = F.col(vector_column)
@@ -101,9 +101,10 @@ def top_k(vectors: DataFrame, folder: str, id_column: str = "vec_id", vector_col
              .withColumn("v", F.transform("v", lambda c: c.cast("double")))
              .filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
              .select("id", F.transform("v", lambda c: F.floor(F.lit(float(scale)) * c).cast("long")).alias("v"), F.size("v").alias("dim")))
-    clean = written(clean.distinct(), folder, "vectors")
-    queries = written(clean.filter(query_filter).groupBy("dim", "id").agg(F.min("v").alias("v")).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("s"))
-                      .select("id", "s.v", "s.dim"), folder, "queries")
+    # equal rows beyond the k-th can't add to the k best
+    copies = clean.groupBy("id", "v", "dim").agg(F.count("*").alias("n"))
+    clean = written(copies.select("id", "v", "dim", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))).alias("copy")).drop("copy"), folder, "vectors")
+    queries = written(clean.filter(query_filter), folder, "queries")
     # at most PIVOT_SAMPLE rows: the pivots of each length
     sample = clean.orderBy(F.xxhash64("id"), "id", "v").limit(PIVOT_SAMPLE).collect()
     chosen = {d: choose_pivots(np.array([r.v for r in sample if r.dim == d], "f8"), pivots) for d in {r.dim for r in sample}}
@@ -157,7 +158,7 @@ def top_k(vectors: DataFrame, folder: str, id_column: str = "vec_id", vector_col
     met = (c_blocks.repartition(n, "dim", "q", "g").groupBy("dim", "q", "g")
            .cogroup(q_blocks.repartition(n, "dim", "q", "g").groupBy("dim", "q", "g")).applyInPandas(search, "query_id long, vec_id long, score long"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return met.distinct().withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -393,3 +393,19 @@ def test_shards_are_written_whole_and_hot_keys_spread(spark, docs_of, folder):
     sizes = [n for _, n in got.selectExpr("input_file_name() as f").groupBy("f").count().collect()]
     assert len(sizes) == 4 and max(sizes) < 150
     assert sharding.write_shards(df.filter("false"), folder + "-empty", ["source"], shards, 101).count() == 0
+
+
+def test_top_k_of_repeated_ids_equals_the_sql(spark, folder, tmp_path):
+    import duckdb
+    from gridpulse.llm.queries import ORACLES
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in rng.normal(size=4)]) for i in range(120)]
+    rows += [(50, [9.0, -9.0, 0.0, 1.0]), (50, [-9.0, 9.0, 1.0, 0.0]), (100, rows[100][1]), (7, rows[7][1]), (7, [5.0, -5.0, 0.0, 0.0]), *[(3, [4.0, 4.0, 4.0, 4.0])] * 8]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    df.coalesce(1).write.parquet(f"{tmp_path}/e")
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tmp_path}/e/*.parquet'")
+    columns = ["query_id", "rank", "vec_id", "score"]
+    want = con.execute(f"select {', '.join(columns)} from ({ORACLES['op5_topk']})").fetchall()
+    got = topk.top_k(df, folder, block_rows=37, query_block_rows=2, pivots=6).select(*columns)
+    assert sorted(map(tuple, got.collect())) == sorted(want)
