@@ -1,7 +1,7 @@
 """Invariants and plan checks."""
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 from gridpulse.operators import builders_mi as BM
 from gridpulse.operators import builders_om as BO

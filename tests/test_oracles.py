@@ -7,7 +7,7 @@ import os
 import duckdb
 import pytest
 
-from conftest import SF_SMALL
+from fixture_paths import SF_SMALL
 
 from gridpulse.plans import registry
 
