@@ -164,7 +164,7 @@ def write_ids(docs: DataFrame, folder: str, vocabulary: str = WORD_BPE, kind: st
                 files.create_dir(path, recursive=True)
                 out = files.open_output_stream(mine, compression=None)
                 writer = PlaneWriter(out, kind, block_ids)
-            for i, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, tokenizers).encode_many(x.as_py() for x in batch.column(1))):
+            for i, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, tokenizers).encode_column(batch.column(1))):
                 writer.add(i, ids + end)
         if writer is not None:
             size = writer.close()

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 
@@ -22,26 +23,55 @@ END_ID = 1
 
 #: Parts kept per worker, in two generations: when the younger is full it becomes the older,
 #: and of the one before only the parts that came up again are left.
-MEMO_PARTS = 1_000_000
-#: Texts are handled in groups of about so many characters.
-GROUP_CHARS = 1_000_000
-
-# Python's \s is Unicode White_Space and \x1c-\x1f, which the tokenizers take for symbols.
-_BYTE_PARTS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
-_WORD_PARTS = re.compile(r"[^ \t\n\r]+")
-_BYTE_ODD = re.compile(r"\s\s|[^\S \n]")
-_WORD_ODD = re.compile("[" + "".join(map(re.escape, map(chr, [*range(9), 11, 12, *range(14, 32), *range(0x7F, 0xA1), 0x1680,
-    0x180E, *range(0x2000, 0x2010), *range(0x2028, 0x2030), *range(0x205F, 0x2070), 0x3000, 0xFEFF]))) + "]")
-_LEADS = frozenset(" \n")
-_MARK = "\x01"
-
+MEMO_PARTS = {BYTE_BPE: 1_600_000, WORD_BPE: 1_600_000, PIECE_BPE: 1_000_000}
+#: Texts are handled in groups of about so many bytes (or characters).
+GROUP_CHARS = 4_000_000
 
+_MARK = "\x01"
+# White space as the byte vocabulary takes it: Unicode's White_Space (Python's, too, but for \x1c-\x1f). The word vocabulary drops
+# control characters without a break, so its texts are cut at four characters only.
+_WHITE, _WORD_WHITE, _LEADS = b"\t\n\x0b\x0c\r ", b"\t\n\r ", b" \n"
+_WIDE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
+_WIDE_END = re.compile(b"(?:" + _WIDE.pattern + rb")\Z")
+_WIDE_LEADS = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+
+# str.split() cuts at ASCII white space alone unless a text has one of these.
+_ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 _WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
 
 def words_of(text: str) -> list[str]:
     """Runs without ASCII white space."""
-    return _WORDS.findall(text) if _WORD_ODD.search(text) else text.split()
+    return _WORDS.findall(text) if _ODD.search(text) else text.split()
+
+
+def coded_parts(column, white_bytes: bytes = _WHITE, wide: bool = True) -> Iterator[tuple[list[bytes], np.ndarray, np.ndarray]]:
+    """An Arrow column of texts cut into parts, a run of white space and what stands behind it up to the next one.
+
+    For each group of rows of about GROUP_CHARS bytes: the distinct parts, the codes of all parts in order, and the first part of each row (and the
+    number of parts). The texts' own buffer is cut and coded; no part but the distinct ones becomes a Python object.
+    """
+    import pyarrow as pa
+    column = column.cast(pa.large_string()).fill_null("")
+    offsets, data = column.buffers()[1:]
+    offsets = np.frombuffer(offsets, "<i8", len(column) + 1, 8 * column.offset) if len(column) else np.zeros(1, "<i8")
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    is_white, row = np.isin(np.arange(256), list(white_bytes)), 0
+    while row < len(column):
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + GROUP_CHARS, "right")) - 1)
+        raw, starts = data[offsets[row]:offsets[end]].tobytes(), offsets[row:end + 1] - offsets[row]
+        white = is_white[np.frombuffer(raw, np.uint8)]
+        if wide and any(map(raw.__contains__, _WIDE_LEADS)):
+            for m in _WIDE.finditer(raw):
+                white[m.start():m.end()] = True
+        first = white.copy()
+        first[1:] &= ~white[:-1]
+        first[starts[:-1][starts[:-1] < starts[1:]]] = True  # every text begins a part
+        at = np.flatnonzero(first)
+        parts = pa.Array.from_buffers(pa.large_binary(), len(at), [None, pa.py_buffer(np.append(at, len(raw)).astype("<i8")), pa.py_buffer(raw)])
+        coded = parts.dictionary_encode()
+        yield coded.dictionary.to_pylist(), coded.indices.to_numpy(), np.searchsorted(at, starts)
+        row = end
 
 
 def vocabulary_path(name: str, folder: str | None = None) -> str:
@@ -52,15 +82,45 @@ def vocabulary_path(name: str, folder: str | None = None) -> str:
     return str(public_tokenizers.path(name))
 
 
+class Memo:
+    """part -> ids. The ids lie in one array, so that those of many parts are gathered at once."""
+
+    def __init__(self):
+        self.at: dict = {}  # part (bytes; for the piece vocabulary a word) -> place in begins and sizes
+        self.ids, self.begins, self.sizes, self.n_ids = np.zeros(1024, "<u4"), np.zeros(1024, "<i8"), np.zeros(1024, "<i8"), 0
+
+    def add(self, parts: list, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """New distinct parts, their ids one after the other, and how many each has."""
+        old, n = len(self.at), len(parts)
+        while old + n > len(self.sizes):
+            self.begins, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begins, self.sizes))
+        while self.n_ids + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.at.update(zip(parts, range(old, old + n)))
+        self.ids[self.n_ids:self.n_ids + len(ids)] = ids
+        self.sizes[old:old + n] = sizes
+        self.begins[old:old + n] = self.n_ids + np.cumsum(sizes) - sizes
+        self.n_ids += len(ids)
+
+    def places(self, parts: list) -> np.ndarray:
+        return np.fromiter(map(self.at.__getitem__, parts), "<i8", len(parts))
+
+    def gather(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the parts one after the other, where each part's ids begin and, last, how many there are)."""
+        sizes = self.sizes[places]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return self.ids[np.arange(ends[-1]) + np.repeat(self.begins[places] - ends[:-1], sizes)], ends
+
+
 class TextEncoder:
     """Ids of whole texts, as little-endian uint32 bytes."""
 
-    def __init__(self, name: str, folder: str | None = None, memo_parts: int = MEMO_PARTS):
-        self.memo: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+    def __init__(self, name: str, folder: str | None = None, memo_parts: int | None = None):
+        self.memo, self.older = Memo(), Memo()
+        memo_parts = memo_parts or MEMO_PARTS[name]
         self.memo_parts = memo_parts
-        self.split, self.learn = {BYTE_BPE: (self._byte_parts, self._learn_bytes), WORD_BPE: (self._word_parts, self._learn_words),
-                                  PIECE_BPE: (words_of, self._learn_pieces)}[name]
+        self.learn = {BYTE_BPE: self._learn_bytes, WORD_BPE: self._learn_words, PIECE_BPE: self._learn_pieces}[name]
+        self.white, self.wide = (_WHITE, True) if name == BYTE_BPE else (_WORD_WHITE, False)
         if name == PIECE_BPE:  # each word alone, as after a space
             from sentencepiece import SentencePieceProcessor
             self.pieces = SentencePieceProcessor(model_file=vocabulary_path(name, folder))
@@ -78,78 +138,74 @@ class TextEncoder:
         else:
             self.mark_id, = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
-    @staticmethod
-    def _byte_parts(text: str) -> list[str]:
-        """A part takes the white space before it along."""
-        if _BYTE_ODD.search(text) or "\x00" in text:
-            return _BYTE_PARTS.findall(text)
-        return text.replace(" ", "\x00 ").replace("\n", "\x00\n").split("\x00")
-
-    @staticmethod
-    def _word_parts(text: str) -> list[str]:
-        """White space gives no id, so parts leave it out."""
-        return _WORD_PARTS.findall(text) if _WORD_ODD.search(text) else text.split()
-
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _learn_bytes(self, parts: list[str]) -> None:
+    def _learn_bytes(self, parts: list[bytes]) -> None:
         """Parts that begin with white space and end without it stay whole in a joined text."""
-        joined = [p for p in parts if p[:1] in _LEADS and not p[-1].isspace()]
-        alone = set(parts).difference(joined)
+        joined = [p for p in parts if p[0] in _LEADS and p[-1] not in _WHITE and (p[-1] < 128 or not _WIDE_END.search(p))]
         if joined:
-            ids = self._ids("".join(joined))
-            ends = np.cumsum(np.fromiter((len(p.encode()) for p in joined), "<i8", len(joined)))
-            at = np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1
-            self._keep(joined, ids, [0, *at[:-1].tolist()], at.tolist())
-        for p in alone:
-            self.memo[p] = self._ids(p).tobytes()
-
-    def _learn_words(self, parts: list[str]) -> None:
-        """A mark that no joined part holds stands between the parts."""
-        joined = [p for p in parts if _MARK not in p]
+            ids = self._ids(b"".join(joined).decode())
+            ends = np.cumsum(np.fromiter(map(len, joined), "<i8", len(joined)))
+            self.memo.add(joined, ids, np.diff(np.searchsorted(np.cumsum(self.token_bytes[ids]), ends) + 1, prepend=0))
+        if len(joined) < len(parts):
+            self._learn_alone(set(parts).difference(joined))
+
+    def _learn_words(self, parts: list[bytes]) -> None:
+        """White space gives no id. A mark that no joined part holds stands between the parts."""
+        mark = _MARK.encode()
+        joined = [p for p in parts if mark not in p]
         if joined:
-            ids = self._ids(f" {_MARK} ".join(joined))
-            at = np.flatnonzero(ids == self.mark_id)
-            self._keep(joined, ids, [0, *(at + 1).tolist()], [*at.tolist(), len(ids)])
-        for p in set(parts).difference(joined):
-            self.memo[p] = self._ids(p).tobytes()
+            ids = self._ids(f" {_MARK} ".encode().join(joined).decode())
+            marks = ids == self.mark_id
+            self.memo.add(joined, ids[~marks], np.diff(np.flatnonzero(np.append(marks, True)), prepend=-1) - 1)
+        if len(joined) < len(parts):
+            self._learn_alone(set(parts).difference(joined))
 
-    def _learn_pieces(self, parts: list[str]) -> None:
-        for p, ids in zip(parts, self.pieces.encode(parts, num_threads=1)):
-            self.memo[p] = np.array(ids, "<u4").tobytes()
+    def _learn_alone(self, parts: Iterable[bytes]) -> None:
+        for p in parts:
+            ids = self._ids(p.decode())
+            self.memo.add([p], ids, np.array([len(ids)]))
 
-    def _keep(self, parts: list[str], ids: np.ndarray, starts: list[int], ends: list[int]) -> None:
-        raw, memo = ids.tobytes(), self.memo
-        for p, start, end in zip(parts, starts, ends):
-            memo[p] = raw[4 * start:4 * end]
+    def _learn_pieces(self, words: list[str]) -> None:
+        ids = self.pieces.encode(words, num_threads=1)
+        self.memo.add(words, np.fromiter(chain.from_iterable(ids), "<u4"), np.fromiter(map(len, ids), "<i8", len(ids)))
 
     def encode_many(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of each text in turn (null or empty: none)."""
-        group, chars = [], 0
-        for text in texts:
-            group.append(text or "")
-            chars += len(group[-1])
-            if chars >= GROUP_CHARS:
-                yield from self.encode_parts([self.split(t) for t in group])
-                group, chars = [], 0
-        yield from self.encode_parts([self.split(t) for t in group])
-
-    def encode_parts(self, cut: list[list[str]]) -> Iterator[bytes]:
-        """Ids of texts that ``split`` has cut."""
-        if len(self.memo) > self.memo_parts // 2:
-            self.older, self.memo = self.memo, {}
-        memo, older, new = self.memo, self.older, []
-        for p in set().union(*cut):
-            if p not in memo:
-                if p in older:
-                    memo[p] = older[p]
-                else:
-                    new.append(p)
-        self.learn(new)
-        get = self.memo.__getitem__
-        for parts in cut:
-            yield b"".join(map(get, parts))
+        import pyarrow as pa
+        yield from self.encode_column(pa.array(list(texts), pa.large_string()))
+
+    def encode_column(self, column) -> Iterator[bytes]:
+        """Ids of each text of an Arrow column in turn (null or empty: none)."""
+        for parts, codes, bounds in coded_parts(column, self.white, self.wide):
+            yield from self._texts(self._places(parts)[codes], bounds)
+
+    def encode_words(self, cut: list[list[str]]) -> Iterator[bytes]:
+        """Ids of texts that are cut into words, for the piece vocabulary."""
+        self._places(list(set().union(*cut)))
+        yield from self._texts(self.memo.places(list(chain.from_iterable(cut))), np.cumsum([0, *map(len, cut)]))
+
+    def _texts(self, places: np.ndarray, bounds: np.ndarray) -> Iterator[bytes]:
+        ids, ends = self.memo.gather(places)
+        ends = ends[bounds].tolist()
+        for start, end in zip(ends[:-1], ends[1:]):
+            yield ids[start:end].tobytes()
+
+    def _places(self, parts: list) -> np.ndarray:
+        """Where the memo has distinct parts; those not seen yet are learnt."""
+        if len(self.memo.at) > self.memo_parts // 2:
+            self.older, self.memo = self.memo, Memo()
+        memo, older = self.memo, self.older
+        new = [p for p in parts if p not in memo.at]
+        again = [p for p in new if p in older.at] if older.at else []
+        if again:
+            ids, ends = older.gather(older.places(again))
+            memo.add(again, ids, np.diff(ends))
+            new = [p for p in new if p not in older.at]
+        if new:
+            self.learn(new)
+        return memo.places(parts)
 
 
 _ENCODERS: dict[tuple, TextEncoder] = {}

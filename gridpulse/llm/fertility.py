@@ -136,7 +136,7 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         for batch in batches:
             texts = [t.as_py() or "" for t in batch.column(1)]
             words, out = [words_of(t) for t in texts], []
-            for t, w, l, raw in zip(texts, words, batch.column(2).to_pylist(), pieces.encode_parts(words)):
+            for t, w, l, raw in zip(texts, words, batch.column(2).to_pylist(), pieces.encode_words(words)):
                 base = base_figures(t, w)
                 ids = np.frombuffer(raw, "<u4")
                 n = len(multi.encode_ordinary(t))

@@ -87,7 +87,7 @@ def pack(docs: DataFrame, folder: str, length: int = LENGTH, open_windows: int =
             sequence += 1
 
         for batch in batches:
-            for i, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, tokenizers).encode_many(x.as_py() for x in batch.column(1))):
+            for i, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary, tokenizers).encode_column(batch.column(1))):
                 ids += end
                 total = len(ids) // 4
                 whole = total // length * length

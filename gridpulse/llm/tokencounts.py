@@ -27,14 +27,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import run_folder, text_of
-from .encoding import BYTE_BPE, GROUP_CHARS, MEMO_PARTS, TextEncoder, vocabulary_path
+from .encoding import BYTE_BPE, vocabulary_path
 
 LIMIT = 1024
 #: Code points in a block of a table.
 BLOCK = 4096
+#: Texts are handled in groups of about so many characters; parts kept per worker, in two generations.
+GROUP_CHARS, MEMO_PARTS = 1_000_000, 1_000_000
 NEVER = 1 << 60
 
+# White space is Unicode's White_Space (Python's, too, but for \x1c-\x1f).
 _WHITE = re.compile(r"[^\S\x1c-\x1f]*")
+_PARTS = re.compile(r"[^\S\x1c-\x1f]*[\S\x1c-\x1f]+|[^\S\x1c-\x1f]+")
 _PIECES = re.compile(r"'(?:re|ve|ll|[stmd])|[A-Za-z]+|[0-9]+|[^A-Za-z0-9]+")
 
 
@@ -223,12 +227,12 @@ class PrefixCounter:
             at, segments = 0, []
             for m in found:  # up to its last character a special string is ordinary text
                 segments.append((len(cut), m.start() - at))
-                cut.append(TextEncoder._byte_parts(text[at:m.end() - 1]))
+                cut.append(_PARTS.findall(text[at:m.end() - 1]))
                 at = m.end()
             segments.append((len(cut), None))
-            cut.append(TextEncoder._byte_parts(text[at:]))
+            cut.append(_PARTS.findall(text[at:]))
             plan.append(segments)
-        done = list(self._ordinary([[p for p in parts if p] for parts in cut]))
+        done = list(self._ordinary(cut))
         for segments in plan:
             if len(segments) == 1:
                 yield done[segments[0][0]]
