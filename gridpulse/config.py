@@ -8,7 +8,7 @@ for results to agree.
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 # ---------------------------------------------------------------------------
 # Fixed values (must equal the reference's; stated plainly, in natural order)
@@ -45,6 +45,7 @@ CONSUMER_SUBSTRING_RULES = [
     ("HTCT", "HTCT-Consumer_meter"),
 ]
 CATEGORY_KEYS = ["CONSUMER", "FEEDER", "DT"]
+CATEGORY_INPUTS = ("total", "consumer", "feeder", "dt", "dtr")
 CATEGORY_INPUT_MAP = {"consumer": "CONSUMER", "feeder": "FEEDER", "dt": "DT"}
 
 # Category fallback when connection_type is null.
@@ -68,15 +69,8 @@ SOURCE_HELPDESK_PATTERN = "%1912%helpdesk%"
 
 # Ageing classes.
 STOCK_AGE_BOUNDS = [30, 60, 90]                 # <=30, 31-60, 61-90, >90 (days, inclusive upper)
-NON_SAT_AGE_BOUNDS = [30, 60, 90, 120]          # <=30 ... >120
-OPEN_AGE_BOUNDS = [3, 7, 15, 30, 90, 180]       # half-open on fractional days
-OPEN_AGE_LABELS = ["lt_3", "d3_7", "d7_15", "d15_30", "d30_90", "d90_180", "ge_180"]
 
 # Comparison levels.
-MI_LEVELS = ["project", "discom", "zone", "circle", "division", "subdivision",
-             "substation", "feeder", "dtr"]
-OM_LEVELS = ["project", "discom", "zone", "circle", "division", "subdivision",
-             "substation", "feeder", "dtr"]
 LEVEL_TYPOS = {"divison": "division", "subdivison": "subdivision"}
 
 MIDIM = ["project", "discom", "zone", "circle", "division", "subdivision",
@@ -96,7 +90,6 @@ class Config:
     stage9_project: str = "AFRICA"
     meter_as_of: dt.date = dt.date(2001, 8, 1)
     complaint_as_of: dt.datetime = dt.datetime(2024, 1, 31, 0, 0, 0)
-    extra: dict = field(default_factory=dict)
 
 
 DEFAULT = Config()

@@ -2,7 +2,6 @@
 built from built-in functions, so they stay inside whole-stage codegen."""
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -106,48 +105,6 @@ def fractional_days(start, end) -> Column:
     return micros_between(start, end).cast("double") / F.lit(86400000000.0)
 
 
-def consumer_subcategory(metertype="new_meter_type") -> Column:
-    """Exact map of 13 meter-type codes to 4 consumer buckets (null otherwise)."""
-    m = F.create_map(*[F.lit(x) for kv in C.CONSUMER_SUBCATEGORY_MAP.items() for x in kv])
-    return F.try_element_at(m, col(metertype))
-
-
-def consumer_subcategory_substring(metertype="new_meter_type") -> Column:
-    """Substring variant (first of 1PH, 3PH, LTCT, HTCT contained)."""
-    mt = F.coalesce(col(metertype), F.lit(""))
-    expr = None
-    for needle, bucket in C.CONSUMER_SUBSTRING_RULES:
-        cond = mt.contains(needle)
-        expr = F.when(cond, F.lit(bucket)) if expr is None else expr.when(cond, F.lit(bucket))
-    return expr.otherwise(F.lit(None).cast("string"))
-
-
-def source_auto(c="complaint_by") -> Column:
-    """Auto-ticketing source (null -> false)."""
-    return F.coalesce(col(c), F.lit("")).ilike(C.SOURCE_AUTO_PATTERN)
-
-
-def source_helpdesk(c="complaint_by") -> Column:
-    return F.coalesce(col(c), F.lit("")).ilike(C.SOURCE_HELPDESK_PATTERN)
-
-
-def source_others(c="complaint_by") -> Column:
-    return ~(source_auto(c) | source_helpdesk(c))
-
-
-def any_not_null(*cols) -> Column:
-    return reduce(lambda a, b: a | b, [col(c).isNotNull() for c in cols])
-
-
-def all_not_null(*cols) -> Column:
-    return reduce(lambda a, b: a & b, [col(c).isNotNull() for c in cols])
-
-
 def null_str() -> Column:
     """Typed null string column."""
     return F.lit(None).cast("string")
-
-
-def mmddyyyy(c) -> Column:
-    """Date -> MM/DD/YYYY text (null-safe)."""
-    return F.date_format(col(c), "MM/dd/yyyy")

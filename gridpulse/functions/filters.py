@@ -23,17 +23,22 @@ class Filters:
         return replace(self, **kw)
 
     @classmethod
-    def from_params(cls, params: dict) -> "Filters":
-        """Build from a request-parameter dict: project, category (alias
-        meter_category), level, duration (alias period), start_date, end_date,
-        limit, offset; every other non-empty key is a dimension filter
-        (om_category is an alias of meter_category)."""
+    def from_params(cls, params: dict, category_from_meter: bool = False) -> "Filters":
+        """Build from a request-parameter dict: project, category, level,
+        duration (alias period), start_date, end_date, limit, offset; every
+        other non-empty key is a dimension filter (F10). om_category stands for
+        meter_category where that is not given. meter_category is a filter beside
+        the category; with ``category_from_meter`` (KPIs 13 and 14) it is the
+        category where none is given."""
         p = {k: v for k, v in params.items() if v not in (None, "")}
-        known = {"project", "category", "meter_category", "level", "duration", "period", "start_date",
-                 "end_date", "limit", "offset"}
-        dims = tuple(("meter_category" if k == "om_category" else k, str(v))
-                     for k, v in p.items() if k not in known)
-        return cls(project=p.get("project", "all"), category=p.get("category", p.get("meter_category", "total")),
+        old = p.pop("om_category", None)
+        if old and "meter_category" not in p:
+            p["meter_category"] = old
+        if category_from_meter and "category" not in p and str(p.get("meter_category", "")).lower() in C.CATEGORY_INPUTS:
+            p["category"] = str(p.pop("meter_category"))
+        known = {"project", "category", "level", "duration", "period", "start_date", "end_date", "limit", "offset"}
+        dims = tuple((k, str(v)) for k, v in p.items() if k not in known)
+        return cls(project=p.get("project", "all"), category=p.get("category", "total"),
                    level=p.get("level", "discom"), duration=p.get("duration", p.get("period")),
                    start_date=p.get("start_date"), end_date=p.get("end_date"), dims=dims,
                    limit=int(p["limit"]) if "limit" in p else None, offset=int(p.get("offset", 0)))
@@ -45,7 +50,7 @@ class Filters:
     @property
     def category_l(self) -> str:
         c = (self.category or "total").lower()
-        if c not in ("total", "consumer", "feeder", "dt", "dtr"):
+        if c not in C.CATEGORY_INPUTS:
             raise ValueError(f"invalid category {self.category!r}")   # §2.14 #16
         return c
 

@@ -1,6 +1,8 @@
-"""Period bucketing and labels (P12-P14, P22, U1/U4 granularity explode)."""
+"""Period bucketing and labels (P12-P14, P22) and the roll-up over grains."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,11 +32,6 @@ def label_ddmmyy(d) -> Column:
     return F.date_format(col(d), "dd-MM-yy")
 
 
-def label_iso(d, grain: str) -> Column:
-    """YYYY-MM-DD for day/week, YYYY-MM for month."""
-    return F.date_format(col(d), "yyyy-MM" if grain == "monthly" else "yyyy-MM-dd")
-
-
 def label_mon_yy(d) -> Column:
     """Mon-YY."""
     return F.date_format(col(d), "MMM-yy")
@@ -45,23 +42,33 @@ def label_quarter(d) -> Column:
     return F.date_format(col(d), "yyyy-'Q'q")
 
 
-def explode_grains(df: DataFrame, day_col: str, grains=GRAINS,
-                   out_type="period_type", out_start="period_start") -> DataFrame:
-    """One input row per grain, tagged with the grain and its start date.
+#: The grain each grain is summed from. Weeks cross months, so both come from days.
+PARENT = {"weekly": "daily", "monthly": "daily", "quarterly": "monthly", "yearly": "quarterly"}
+
+
+def roll_up(rows: DataFrame, keys: list[str], day: str, sums: dict[str, Column], grains=GRAINS, folder: str | None = None) -> DataFrame:
+    """(keys, period_type, period_start, sums) of every grain, each summed from the next finer one.
 
-    Applied to an already aggregated daily frame, so the fan-out is over small
-    data and the following groupBy re-sums additive measures.
+    Only the finest grain aggregates ``rows``; its groups, not the rows, are shuffled again for the coarser grains. ``sums`` must be additive
+    (counts and sums; a mean is carried as its sum and count and divided by the caller afterwards). The grains share the finest one's exchange:
+    Spark computes it once for the whole union, and a filter on ``period_type`` leaves only that grain's branch. With ``folder`` each
+    stage is a written table, from which a lost executor starts again. A null date is a period of its own.
     """
-    arr = F.array(*[F.struct(F.lit(g).alias("t"), period_start(day_col, g).alias("s")) for g in grains])
-    other = [c for c in df.columns]
-    return (df.select(*other, F.explode(arr).alias("_g"))
-              .select(*other, F.col("_g.t").alias(out_type), F.col("_g.s").alias(out_start)))
-
-
-def rollup_grains(daily: DataFrame, keys: list[str], day_col: str, sums: list[str],
-                  grains=GRAINS, label=label_ddmmyy) -> DataFrame:
-    """Re-aggregate a daily summary into several grains (counts and sums only)."""
-    ex = explode_grains(daily, day_col, grains)
-    out = (ex.groupBy(*keys, "period_type", "period_start")
-             .agg(*[F.sum(s).alias(s) for s in sums]))
-    return out.withColumn("period_value", label("period_start"))
+    finest = "daily" if {"daily", "weekly"} & set(grains) else next(g for g in ("monthly", "quarterly", "yearly") if g in grains)
+    stages = {}
+
+    def stage(grain: str) -> DataFrame:
+        if grain not in stages:
+            if grain == finest:
+                out = rows.groupBy(*keys, period_start(day, grain).alias("period_start")).agg(*[c.alias(n) for n, c in sums.items()])
+            else:
+                out = (stage(PARENT[grain]).groupBy(*keys, period_start("period_start", grain).alias("period_start"))
+                       .agg(*[F.sum(n).alias(n) for n in sums]))
+            if folder:
+                out.write.mode("overwrite").parquet(f"{folder}/{grain}")
+                out = rows.sparkSession.read.schema(out.schema).parquet(f"{folder}/{grain}")
+            stages[grain] = out
+        return stages[grain]
+
+    parts = [stage(g).select(*keys, F.lit(g).alias("period_type"), "period_start", *sums) for g in grains]
+    return reduce(DataFrame.union, parts)

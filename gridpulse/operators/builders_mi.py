@@ -3,9 +3,8 @@
 Every builder takes the meter fact frame (S1) and returns the summary frame
 with the reference's columns plus a real ``period_start`` DATE. Plans are
 written so Catalyst prunes to the needed columns and pushes filters to the
-scan; multi-grain builders aggregate once at the daily grain (map-side partial
-aggregation, one shuffle on the full key) and roll the small daily result up
-to weekly/monthly (U1/U4), instead of scanning the fact table per grain.
+scan; multi-grain builders aggregate the facts once, at their finest grain,
+and sum the coarser grains from its groups (``periods.roll_up``).
 """
 from __future__ import annotations
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import columns as X
 from ..functions import predicates as P
-from ..functions.periods import explode_grains, label_ddmmyy, label_mon_yy, label_quarter, period_start
+from ..functions.periods import label_ddmmyy, label_mon_yy, label_quarter, period_start, roll_up
 
 GEO = ["discom", "zone", "circle", "division", "subdivision", "substation", "feeder", "dtr"]
 
@@ -44,16 +43,10 @@ def _finish(df: DataFrame, label=label_ddmmyy) -> DataFrame:
 
 # A1 -------------------------------------------------------------------------
 def mi_progress(meters: DataFrame) -> DataFrame:
-    """A1: verified installations by MIDIM (raw project) x daily/weekly/monthly of mi_date.
-
-    Explode-first: every row is tagged with its three period starts and one
-    groupBy counts all grains (one scan, one shuffle; the map-side partial
-    aggregate combines each grain before the exchange)."""
+    """A1: verified installations by MIDIM (raw project) x daily/weekly/monthly of mi_date."""
     rows = (meters.where(P.verified_installation())
             .select(*_dims(False), F.col("mi_date").alias("d")))
-    out = (explode_grains(rows, "d")
-           .groupBy(*C.MIDIM, "period_type", "period_start")
-           .agg(F.count(F.lit(1)).alias("total_mi_progress")))
+    out = roll_up(rows, C.MIDIM, "d", {"total_mi_progress": F.count(F.lit(1))})
     return _finish(out).select(*C.MIDIM, "period_type", "period_value", "period_start", "total_mi_progress")
 
 
@@ -79,23 +72,19 @@ def inventory_utilization(meters: DataFrame) -> DataFrame:
 
     weekly: raw project, week of mi_date; monthly/daily: normalised project,
     COALESCE(didate, mi_date). No row filter, so a null period group exists.
-    One scan and one shuffle: every row is tagged into the three branches
-    (explode of three structs) and aggregated by a single groupBy.
+    The facts are aggregated once, by raw project, day of the basis and week of
+    mi_date; the three grains are sums of these groups.
     """
     inst = P.verified_installation()
     basis = F.coalesce(F.col("didate"), F.col("mi_date"))
-    branches = F.array(
-        F.struct(F.lit("weekly").alias("b"), F.col("project").alias("proj"),
-                 F.trunc(F.col("mi_date"), "week").alias("d")),
-        F.struct(F.lit("monthly").alias("b"), X.norm_upper("project").alias("proj"), F.trunc(basis, "month").alias("d")),
-        F.struct(F.lit("daily").alias("b"), X.norm_upper("project").alias("proj"), basis.alias("d")),
-    )
-    rows = meters.select(*[F.col(g) for g in GEO], F.col("metertype").alias("new_meter_type"),
-                         X.meter_category().alias("meter_category"), inst.alias("_inst"),
-                         F.explode(branches).alias("_b"))
-    agg = (rows.groupBy(F.col("_b.b").alias("period_type"), F.col("_b.proj").alias("project"),
-                        *GEO, "new_meter_type", "meter_category", F.col("_b.d").alias("period_start"))
-           .agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_inst")).alias("inst")))
+    rest = [*GEO, "new_meter_type", "meter_category"]
+    state = (meters.select(*_dims(False), basis.alias("day"), F.trunc(F.col("mi_date"), "week").alias("week"), inst.alias("_inst"))
+             .groupBy(*C.MIDIM, "day", "week").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_inst")).alias("inst")))
+    sums = {m: F.sum(m) for m in ("n", "inst")}
+    weekly = (state.groupBy(*C.MIDIM, F.col("week").alias("period_start")).agg(*[c.alias(m) for m, c in sums.items()])
+              .select(*C.MIDIM, F.lit("weekly").alias("period_type"), "period_start", *sums))
+    others = roll_up(state.select(X.norm_upper("project").alias("project"), *rest, "day", *sums), C.MIDIM, "day", sums, ("monthly", "daily"))
+    agg = weekly.union(others)
     return _finish(agg).select(*C.MIDIM, "period_type", "period_value", "period_start", *_inventory_measures())
 
 
@@ -176,11 +165,8 @@ def meter_journey(meters: DataFrame) -> DataFrame:
     diffs = [F.datediff(F.to_date(F.col(b)), F.to_date(F.col(a))).alias(n) for n, b, a in JOURNEY]
     rows = (meters.where(P.journey_cohort())
             .select(*_dims(False), F.col("pmpm_collection_date").alias("d"), *diffs))
-    out = (explode_grains(rows, "d", ("weekly", "monthly", "daily"))
-           .groupBy(*C.MIDIM, "period_type", "period_start")
-           .agg(*[F.sum(n).cast("long").alias(f"{n}_sum") for n in JOURNEY_NAMES],
-                *[F.count(n).alias(f"{n}_n") for n in JOURNEY_NAMES],
-                F.count(F.lit(1)).alias("meter_count")))
+    sums = {f"{n}_sum": F.sum(n).cast("long") for n in JOURNEY_NAMES} | {f"{n}_n": F.count(n) for n in JOURNEY_NAMES}
+    out = roll_up(rows, C.MIDIM, "d", sums | {"meter_count": F.count(F.lit(1))}, ("weekly", "monthly", "daily"))
     means = [F.when(F.col(f"{n}_n") > 0, F.col(f"{n}_sum").cast("double") / F.col(f"{n}_n").cast("double"))
              .alias(n) for n in JOURNEY_NAMES]
     return _finish(out).select(*C.MIDIM, "period_type", "period_value", "period_start", *means,
@@ -249,8 +235,8 @@ def command_center_trend(meters: DataFrame) -> DataFrame:
     union of inventory (didate) and progress (mi_date) periods, zero filled.
 
     Single pass instead of spine + two left joins (U2 + J2): each meter emits
-    up to two events (inventory at didate, progress at mi_date), each tagged
-    with its month and quarter; one groupBy counts every kind.
+    up to two events (inventory at didate, progress at mi_date); months count
+    every kind and quarters are sums of months.
     A (project, period) exists iff some event falls in it, which is exactly the
     UNION of the two activity key sets. A null project never matches in the
     reference's join, so its counts are zero.
@@ -264,11 +250,9 @@ def command_center_trend(meters: DataFrame) -> DataFrame:
          .where(F.col("_e.d").isNotNull())
          .select("project", "sat_no", F.col("_e.k").alias("kind"), F.col("_e.d").alias("d")))
     is_prog = F.col("kind") == "prog"
-    agg = (explode_grains(e, "d", ("monthly", "quarterly"))
-           .groupBy("project", "period_type", "period_start")
-           .agg(F.count_if(F.col("kind") == "inv").alias("inventory_added"),
-                F.count_if(is_prog & nb).alias("installed_added"),
-                *[F.count_if(is_prog & P.sat_achieved(stage=k)).alias(f"s{k}_added") for k in C.SAT_STAGES]))
+    counts = {"inventory_added": F.count_if(F.col("kind") == "inv"), "installed_added": F.count_if(is_prog & nb)}
+    counts |= {f"s{k}_added": F.count_if(is_prog & P.sat_achieved(stage=k)) for k in C.SAT_STAGES}
+    agg = roll_up(e, ["project"], "d", counts, ("monthly", "quarterly"))
     label = (F.when(F.col("period_type") == "monthly", label_mon_yy("period_start"))
               .otherwise(label_quarter("period_start")))
     zeroed = [F.when(F.col("project").isNull(), F.lit(0).cast("long")).otherwise(F.col(c)).alias(c)

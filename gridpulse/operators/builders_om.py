@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions import columns as X
 from ..functions import predicates as P
-from ..functions.periods import explode_grains, label_ddmmyy
+from ..functions.periods import label_ddmmyy, roll_up
 
 OM_GEO = ["discom", "zone", "circle", "division"]
 
@@ -66,9 +66,7 @@ def defective_meters(complaints: DataFrame, meters: DataFrame) -> DataFrame:
         F.coalesce("m_metertype", F.lit("Unknown")).alias("new_meter_type"),
         "defective_type", "d",
         (F.col("c_n") * F.coalesce(F.col("m_n"), F.lit(1))).alias("w"))
-    out = (explode_grains(rows, "d")
-           .groupBy(*DEFECT_DIMS, "period_type", "period_start")
-           .agg(F.sum("w").alias("meter_count")))
+    out = roll_up(rows, DEFECT_DIMS, "d", {"meter_count": F.sum("w")})
     return (out.withColumn("period_value", label_ddmmyy("period_start"))
             .select(*DEFECT_DIMS, "period_type", "period_value", "period_start", "meter_count"))
 
@@ -127,9 +125,7 @@ def om_closed_analysis(complaints: DataFrame) -> DataFrame:
     rows = (complaints.where(P.closed_ticket())
             .select(*_om_dims(), "complaint_type", "complaint_category", "complaint_by",
                     F.to_date("closed_date").alias("d")))
-    out = (explode_grains(rows, "d")
-           .groupBy(*CLOSED_KEYS, "period_type", "period_start")
-           .agg(F.count(F.lit(1)).alias("closed_tickets")))
+    out = roll_up(rows, CLOSED_KEYS, "d", {"closed_tickets": F.count(F.lit(1))})
     label = (F.when(F.col("period_type") == "monthly", F.date_format("period_start", "yyyy-MM"))
               .otherwise(F.date_format("period_start", "yyyy-MM-dd")))
     return out.select(*CLOSED_KEYS, "period_type", label.alias("period_value"), "closed_tickets",

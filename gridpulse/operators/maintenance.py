@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import config as C
 from ..functions import predicates as P
-from ..functions.periods import explode_grains, label_ddmmyy
+from ..functions.periods import label_ddmmyy, roll_up
 
 GEO = C.GEO5
 
@@ -81,9 +81,8 @@ def non_sat_ageing_periods(non_sat: DataFrame) -> DataFrame:
     cumulative counts over 30/60/90/120 days."""
     d = F.col("ageing_days")
     rows = non_sat.select(*C.MIDIM, F.col("installation_date").alias("d"), "ageing_days")
-    out = (explode_grains(rows, "d").groupBy(*C.MIDIM, "period_type", "period_start")
-           .agg(F.count(F.lit(1)).alias("total_non_sat"),
-                *[F.count_if(d > k).alias(f"age_gt_{k}") for k in (30, 60, 90, 120)]))
+    counts = {"total_non_sat": F.count(F.lit(1))} | {f"age_gt_{k}": F.count_if(d > k) for k in (30, 60, 90, 120)}
+    out = roll_up(rows, C.MIDIM, "d", counts)
     return out.select(*C.MIDIM, "period_type", label_ddmmyy("period_start").alias("period_value"),
                       F.col("period_start").alias("date_value"), *NSA)
 

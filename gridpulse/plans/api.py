@@ -51,6 +51,8 @@ ROUTES = {
     "/api/om/avg-closure-time/dashboard": lambda f, cfg: QO.q23_closure_time(f),
     "/api/om/closed-analysis/dashboard": lambda f, cfg: QO.q24_closed_analysis(f),
 }
+#: Here a meter_category stands for a category that is not given; elsewhere it is a filter of its own.
+CATEGORY_FROM_METER = {"/api/mi/revenue-ageing/summary", "/api/mi/defective-meters/summary"}
 REGION_ROUTES = {
     "/api/mi/command-center/": lambda region, cfg: QM.q15_command_center(region, cfg),
     "/api/mi/sat-dash/": lambda region, cfg: {"monthly": QM.q17_region_monthly(region, cfg)},
@@ -63,8 +65,8 @@ def read_summaries(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
 
 
 def dashboard(path: str, params: dict | None, bases: dict, cfg: C.Config = C.DEFAULT) -> dict[str, DataFrame]:
-    f = Filters.from_params(params or {})
     path = path.rstrip("/")
+    f = Filters.from_params(params or {}, category_from_meter=path in CATEGORY_FROM_METER)
     if path in ROUTES:
         plans = ROUTES[path](f, cfg)
     else:

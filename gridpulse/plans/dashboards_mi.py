@@ -21,7 +21,7 @@ def _n(x):
 
 
 def _where(f: Filters, cfg, *, restrict_three, period_type=None, date_col="period_start", dt_rows=()):
-    preds = dim_filters(f, ALL_MI_COLS - {"project", "meter_category", "period_type"})
+    preds = dim_filters(f, ALL_MI_COLS - {"project", "period_type"})
     if period_type:
         preds.append(D.eq(D.c("period_type"), D.lit(period_type)))
     preds.append(project_scope_mi(f, cfg))
@@ -333,8 +333,10 @@ DEFECTS = [("total", None), ("burnt", C.DEFECT_BURNT), ("faulty", C.DEFECT_FAULT
 def q14_defective_meters(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
     """KPI 14: total/burnt/faulty/others (R20) by buckets; summary, period
     breakdown (label normalised to YYYY-MM-DD, P22) and comparison. dt and dtr
-    both take the stored DT and DTR."""
+    both take the stored DT and DTR. A category replaces a meter_category filter."""
     dur = normalise_duration(f.duration, "monthly")
+    if f.category_l != "total":
+        f = f.with_(dims=tuple(d for d in f.dims if d[0] != "meter_category"))
     w = _where(f, cfg, restrict_three=False, period_type=dur, dt_rows=("DT", "DTR"))
     mc = D.c("meter_count")
     m = {}

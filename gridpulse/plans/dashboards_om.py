@@ -153,8 +153,7 @@ def _page(base: str, where, cols: list[str], order: list[str], limit: int, offse
 
 
 def q20_open_tickets(f: Filters = Filters()) -> Plan:
-    """Open tickets list with standard filters; `om_category` is an alias of category."""
-    f = f.with_(dims=tuple(("meter_category" if k == "om_category" else k, v) for k, v in f.dims))
+    """Open tickets list with standard filters, meter_category among them."""
     preds = dim_filters(f, OM_FILTER_DIMS | {"meter_category", "project"})
     if f.project_l != "all":
         preds.append(D.ilike(D.c("project"), f.project))

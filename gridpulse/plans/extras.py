@@ -486,8 +486,9 @@ def q33_series(f: Filters = Filters(), cfg: C.Config = C.DEFAULT) -> dict:
         "kpi13_revenue_ageing": mk("a15", QM._where(f, cfg, restrict_three=False, period_type="monthly"),
                                    {a: D.c(a) for a in QM.AGE4}),
     }
-    w9 = QM._where(f, cfg, restrict_three=True, period_type="monthly")
-    out["kpi09_journey"] = single("a08", QM._journey_section(f, w9, [QM._n("period_start")], ["period_start"]))
+    for grain, name in (("monthly", "kpi09_journey"), ("weekly", "kpi09_journey_weekly"), ("daily", "kpi09_journey_daily")):
+        w9 = QM._where(f, cfg, restrict_three=True, period_type=grain)
+        out[name] = single("a08", QM._journey_section(f, w9, [QM._n("period_start")], ["period_start"]))
     out["kpi07_mi_vs_sat_weekly"] = single("a06", QM._bucketed(
         f, w_all, [D.trunc(D.c("period_start"), "week").alias("period_start")],
         {"total_mi": D.c("total_mi"), "total_sat": D.c("total_sat")}, [], ["period_start"]))

@@ -51,22 +51,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", cp)
     spark.sparkContext.setCheckpointDir(cp)
     return cp
-
-
-def recommended_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
-    """Settings for a cluster run sized to the input: shuffle partitions so each
-    reduce task handles about ``target_partition_bytes`` before AQE coalescing
-    (and at least 3 waves of the available cores), scan splits of the same
-    size, AQE coalescing and skew splitting on. Pass to spark-submit --conf."""
-    parts = max(total_cores * 3, int(input_bytes // target_partition_bytes) + 1)
-    return {
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(target_partition_bytes),
-        "spark.sql.shuffle.partitions": str(parts),
-        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.ansi.enabled": "true",
-    }

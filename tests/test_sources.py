@@ -104,5 +104,26 @@ def test_filters_from_params():
     from gridpulse.functions.filters import Filters
     f = Filters.from_params({"project": "asia", "meter_category": "dt", "period": "weekly", "zone": "Z1",
                              "om_category": "DTR", "limit": "10", "start_date": ""})
-    assert (f.project, f.category, f.duration, f.limit, f.start_date) == ("asia", "dt", "weekly", 10, None)
-    assert set(f.dims) == {("zone", "Z1"), ("meter_category", "DTR")}
+    assert (f.project, f.category, f.duration, f.limit, f.start_date) == ("asia", "total", "weekly", 10, None)
+    assert set(f.dims) == {("zone", "Z1"), ("meter_category", "dt")}  # om_category only where meter_category is missing
+    assert set(Filters.from_params({"om_category": "DTR"}).dims) == {("meter_category", "DTR")}
+    fallback = lambda p: Filters.from_params(p, category_from_meter=True)
+    assert (fallback({"meter_category": "DT"}).category, fallback({"meter_category": "DT"}).dims) == ("DT", ())
+    assert fallback({"category": "total", "meter_category": "DT"}).dims == (("meter_category", "DT"),)
+
+
+def test_lists_and_summaries_filter_by_meter_category(spark):
+    from gridpulse.plans import api
+    from gridpulse.plans.queries_dash import base_frames
+    from fixture_paths import SF_SMALL
+    bases = base_frames(spark, SF_SMALL, ["a04", "a18", "a19"])
+    rows = lambda path, p: api.dashboard(path, p, bases)
+    every = rows("/api/om/open-ageing", {"limit": 50000})["rows"].collect()
+    some = rows("/api/om/open-ageing", {"limit": 50000, "meter_category": "dt"})["rows"].collect()
+    assert 0 < len(some) < len(every) and {r.meter_category.strip().upper() for r in some} == {"DT"}
+    assert some == rows("/api/om/open-ageing", {"limit": 50000, "om_category": "DT"})["rows"].collect()
+    closed = rows("/api/om/avg-closure-time", {"limit": 50000, "meter_category": "feeder"})["rows"].collect()
+    assert {r.meter_category.strip().upper() for r in closed} == {"FEEDER"}
+    total = rows("/api/mi/inventory-utilization/summary", {"category": "total"})["summary"].first()
+    part = rows("/api/mi/inventory-utilization/summary", {"category": "total", "meter_category": "DT"})["summary"].first()
+    assert 0 < part.total_inventory < total.total_inventory
