@@ -26,6 +26,7 @@ from gridpulse.plans import dashboards_om as QO  # noqa: E402
 from gridpulse.plans import pipeline  # noqa: E402
 from gridpulse.session import get_spark  # noqa: E402
 from gridpulse.sources.fixtures import bind_complaints, bind_meters  # noqa: E402
+from gridpulse.sources.versions import VersionedStore  # noqa: E402
 
 PARALLEL = int(os.environ.get("BENCH_PARALLEL", "4"))
 
@@ -59,7 +60,8 @@ def main():
     for name, sec in per.items():
         times[f"{inv[name]}_{name}"] = sec
 
-    bases = {k: spark.read.parquet(os.path.join(out, v)) for k, v in BASE_TABLE.items()}
+    frames = VersionedStore(spark, out).frames()
+    bases = {k: frames[v] for k, v in BASE_TABLE.items()}
     dashboards = {
         "q01_progress": QM.q01_progress(), "q02_technician_productivity": QM.q02_technician_productivity(),
         "q03_productivity_trend": QM.q03_productivity_trend(), "q04_inventory_utilization": QM.q04_inventory_utilization(),

@@ -8,12 +8,11 @@ a function table, not a server.
 """
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import config as C
 from ..functions.filters import Filters
+from ..sources.versions import VersionedStore
 from . import dashboards_mi as QM
 from . import dashboards_om as QO
 
@@ -60,8 +59,9 @@ REGION_ROUTES = {
 
 
 def read_summaries(spark: SparkSession, out_dir: str) -> dict[str, DataFrame]:
-    """Summary DataFrames as written by the pipeline (lazy reads)."""
-    return {k: spark.read.parquet(os.path.join(out_dir, v)) for k, v in SUMMARY_TABLES.items()}
+    """Summary DataFrames of the pipeline's newest version, resolved once (lazy reads)."""
+    frames = VersionedStore(spark, out_dir).frames()
+    return {k: frames[v] for k, v in SUMMARY_TABLES.items() if v in frames}
 
 
 def dashboard(path: str, params: dict | None, bases: dict, cfg: C.Config = C.DEFAULT) -> dict[str, DataFrame]:

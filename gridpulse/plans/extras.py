@@ -7,8 +7,11 @@ tables by fixed rules, so every query's work grows with the data.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from .. import config as C
 from ..functions import columns as X
@@ -21,9 +24,12 @@ from ..operators import maintenance as M
 from ..operators.sections import Section
 from ..oracles import builders as OB
 from ..oracles.sqlbits import F1, MIDIM, cnt, ddmmyy, trunc
+from ..session import ensure_checkpoint_dir
 from ..sources import files as S
 from ..sources import incremental as INC
 from ..sources.fixtures import as_ctes, bind_complaints, bind_meters, with_facts
+from ..sources.sinks import write_aligned
+from ..sources.versions import VersionedStore
 from . import dashboards_mi as QM
 from . import dashboards_om as QO
 from .base import Plan, merged, single
@@ -159,6 +165,26 @@ SELECT ticket_id, 'CONSUMER', 'open', CAST(created_date AS DATE), CAST(NULL AS D
 
 
 # S12 ------------------------------------------------------------------------------
+# S10 ------------------------------------------------------------------------------
+#: A target as a database declares it: other order and case, other types, a column the source lacks.
+S10_TARGET = StructType([StructField(n, t) for n, t in (("ticket_id", StringType()), ("discom", StringType()), ("kind", StringType()),
+                                                        ("created_day", DateType()), ("remark", StringType()))])
+
+
+def _s10(spark, sf):
+    """Complaints aligned to the target, written as a version and read back."""
+    c = bind_complaints(spark, sf).select(F.col("ticket_id").alias("TICKET_ID"), F.col("discom").alias("Discom"), "complaint_type",
+                                          F.col("created_date").alias("CREATED_DAY"), "supervisor")
+    store = VersionedStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/s10-{uuid.uuid4().hex[:12]}")
+    write_aligned(c, S10_TARGET, store, "tickets", rename={"complaint_type": "kind"})
+    return store.frame("tickets")
+
+
+def _s10_sql():
+    return with_facts(select="""
+SELECT ticket_id, discom, complaint_type AS kind, CAST(created_date AS DATE) AS created_day, CAST(NULL AS VARCHAR) AS remark FROM complaints""")
+
+
 def _s12(spark, sf):
     c = bind_complaints(spark, sf)
     load1 = c.select("ticket_id", F.lit("open").alias("status"), F.col("technician"),
@@ -169,6 +195,18 @@ def _s12(spark, sf):
     return INC.upsert(load1, load2, "ticket_id")
 
 
+def _s12_buckets(spark, sf):
+    """The same two loads one after the other, the second one repeated, into the bucketed stage."""
+    c = bind_complaints(spark, sf)
+    load1 = c.select("ticket_id", F.lit("open").alias("status"), F.col("technician"), F.col("created_date").alias("load_ts"))
+    load2 = c.where(P.closed_ticket()).select("ticket_id", F.lit("closed").alias("status"), X.technician_or_supervisor().alias("technician"),
+                                              F.col("closed_date").alias("load_ts"))
+    stage = INC.BucketedStage(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/s12-{uuid.uuid4().hex[:12]}", "ticket_id", buckets=8)
+    for load_id, load in (("1", load1), ("2", load2), ("2", load2)):
+        stage.load(load, load_id)
+    return stage.frame()
+
+
 def _s12_sql():
     return with_facts("""loads AS (
   SELECT ticket_id, 'open' AS status, technician, created_date AS load_ts FROM complaints
@@ -395,7 +433,9 @@ def register_all():
     reg("s06_mixed_date_parse", _s06, _s06_sql)
     reg("s07_align_concat", _s07, _s07_sql)
     reg("s08_time_enrichment", _s08, _s08_sql)
+    reg("s10_aligned_round_trip", _s10, _s10_sql)
     reg("s12_latest_by_key", _s12, _s12_sql)
+    reg("s12_bucketed_loads", _s12_buckets, _s12_sql)
     reg("m01_missing_geo", lambda s, sf: M.missing_geo_meters(bind_meters(s, sf)), lambda: with_facts(select=f"""
 SELECT CAST(COUNT(DISTINCT TRIM(meterserialnumber)) AS BIGINT) AS missing_geo_meters FROM meters
 WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSING_SQL}"""))

@@ -21,6 +21,7 @@ from ..operators import builders_om as BO
 from ..operators import maintenance as MT
 from ..session import ensure_checkpoint_dir
 from ..sources.sinks import write_summary
+from ..sources.versions import VersionedStore
 
 SUMMARIES = {
     "sql_mi_progress": ("m", BM.mi_progress),
@@ -87,10 +88,11 @@ def stage_facts(spark: SparkSession, meters: DataFrame, complaints: DataFrame, r
 def run(spark: SparkSession, meters: DataFrame, complaints: DataFrame, out_dir: str,
         cfg: C.Config = C.DEFAULT, pipeline: str = "all", stage: bool = True,
         max_parallel: int = 4) -> dict[str, float]:
-    """Refresh every summary under ``out_dir``; returns seconds per summary.
+    """Refresh every summary of ``out_dir`` (a ``VersionedStore``) under one version; returns seconds per summary.
 
-    Summaries are committed one by one, like the reference's per-KPI commits.
-    They are independent jobs, so up to ``max_parallel`` are submitted at once
+    Readers see the old version until all summaries are written; a run that fails changes
+    nothing, and a run of one pipeline leaves the other's summaries as they are.
+    The summaries are independent jobs, so up to ``max_parallel`` are submitted at once
     (Spark schedules concurrent jobs over the same executors; short stages of
     one job fill the slots another leaves idle).
     """
@@ -99,15 +101,19 @@ def run(spark: SparkSession, meters: DataFrame, complaints: DataFrame, out_dir:
     if stage:
         meters, complaints = stage_facts(spark, meters, complaints)
     frames = build_all(meters, complaints, cfg, pipeline)
+    store = VersionedStore(spark, out_dir)
+    base, folders = store.manifest(), {name: store.new_folder(name) for name in frames}
 
     def one(item):
         name, df = item
         t0 = time.time()
-        write_summary(df, os.path.join(out_dir, name))
+        write_summary(df, store.full(folders[name]))
         return name, time.time() - t0
 
     with ThreadPoolExecutor(max_workers=max(1, max_parallel)) as ex:
-        return dict(ex.map(one, frames.items()))
+        times = dict(ex.map(one, frames.items()))
+    store.commit(folders, base)
+    return times
 
 
 def main(argv=None) -> None:

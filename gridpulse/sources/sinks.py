@@ -1,42 +1,30 @@
-"""Sinks: full-refresh summary writer (S9) and column-aligned bulk writer."""
+"""Sinks: layout of summaries and their versioned refresh (S9), column-aligned bulk writer."""
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .versions import VersionedStore
+
 
 def write_summary(df: DataFrame, path: str, partition_col: str | None = "period_type") -> None:
-    """Full refresh. The new summary is written beside the live one and
-    takes its place by renaming once its job has committed: a job that fails
-    leaves the old summary as it is (readers between the two renames find none
-    and have to try again). Period-typed summaries are laid out by period_type
-    (partition pruning for the dashboards) and sorted by period_start inside
-    files (min/max statistics for date ranges)."""
+    """A summary's files in a new folder. Period-typed summaries are laid out by
+    period_type (partition pruning for the dashboards) and sorted by period_start
+    inside files (min/max statistics for date ranges). Readers find it once a
+    version names it (``refresh``, ``plans.pipeline.run``)."""
     part = partition_col if partition_col in df.columns else None
     order = [c for c in (part, "period_start") if c and c in df.columns]
     w = df.sortWithinPartitions(*order) if order else df
-    live, run = path.rstrip("/"), uuid.uuid4().hex[:12]
-    new, old = f"{live}.new-{run}", f"{live}.old-{run}"
-    spark = df.sparkSession
-    to_path = spark._jvm.org.apache.hadoop.fs.Path
-    fs = to_path(live).getFileSystem(spark._jsc.hadoopConfiguration())
-    try:
-        (w.write.partitionBy(part) if part else w.write).parquet(new)
-    except Exception:
-        fs.delete(to_path(new), True)
-        raise
-    had = fs.exists(to_path(live))
-    if had and not fs.rename(to_path(live), to_path(old)):
-        raise OSError(f"cannot replace {live}; the new summary is {new}")
-    if not fs.rename(to_path(new), to_path(live)):
-        if had:
-            fs.rename(to_path(old), to_path(live))
-        raise OSError(f"cannot replace {live}; the new summary is {new}")
-    if had:
-        fs.delete(to_path(old), True)
+    (w.write.partitionBy(part) if part else w.write).parquet(path)
+
+
+def refresh(store: VersionedStore, frames: dict[str, DataFrame]) -> int:
+    """Full refresh of some summaries under one version; the others stay."""
+    base, folders = store.manifest(), {name: store.new_folder(name) for name in frames}
+    for name, df in frames.items():
+        write_summary(df, store.full(folders[name]))
+    return store.commit(folders, base)
 
 
 def align_to_target(df: DataFrame, target: StructType, rename: dict | None = None) -> DataFrame:
@@ -50,12 +38,12 @@ def align_to_target(df: DataFrame, target: StructType, rename: dict | None = Non
     return df.select(*cols)
 
 
-def write_aligned(df: DataFrame, target: StructType, path: str, rename: dict | None = None,
-                  jdbc: dict | None = None) -> None:
-    """Write the aligned frame; to a database with truncate + 5,000-row
-    batches when ``jdbc`` options are given, else to Parquet."""
+def write_aligned(df: DataFrame, target: StructType, store: VersionedStore | None = None, name: str = "aligned",
+                  rename: dict | None = None, jdbc: dict | None = None) -> None:
+    """Write the aligned frame as a new version of ``name``, or to a database with
+    truncate + 5,000-row batches when ``jdbc`` options are given."""
     out = align_to_target(df, target, rename)
     if jdbc:
         (out.write.mode("overwrite").format("jdbc").options(truncate="true", batchsize="5000", **jdbc).save())
     else:
-        out.write.mode("overwrite").parquet(path)
+        refresh(store, {name: out})

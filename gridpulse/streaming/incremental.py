@@ -1,11 +1,7 @@
-"""S12 as a stream: new daily load files arrive in a folder; each micro-batch
-is upserted into the staging snapshot (newest version per key wins).
-
-Every batch writes a new snapshot folder ``snap-<batch id>`` computed from the
-previous snapshot and the batch (``latest_by_key``), so a retried batch simply
-rewrites its own folder: the sink is idempotent and survives lost executors
-and driver restarts (progress is in the stream checkpoint, which must sit in
-the cluster's shared folder).
+"""S12 as a stream: new daily load files arrive in a folder; each micro-batch is a load of the bucketed stage.
+
+A batch rewrites only the buckets its keys fall into, and commits under its batch id: a batch that the engine repeats after a failure is known
+and does nothing. Progress is in the stream checkpoint, which must sit in the cluster's shared folder.
 """
 from __future__ import annotations
 
@@ -14,47 +10,27 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from ..sources.incremental import latest_by_key
-
-
-def _snapshots(spark: SparkSession, staging: str) -> list[int]:
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(staging)
-    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    out = []
-    for st in fs.listStatus(path):
-        name = st.getPath().getName()
-        if name.startswith("snap-") and fs.exists(jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
-            out.append(int(name[5:]))
-    return sorted(out)
+from ..sources.incremental import BucketedStage
 
 
 def current_snapshot(spark: SparkSession, staging: str) -> DataFrame | None:
-    snaps = _snapshots(spark, staging)
-    return spark.read.parquet(os.path.join(staging, f"snap-{snaps[-1]}")) if snaps else None
+    """The staging table as last committed; None before the first batch."""
+    return BucketedStage(spark, staging).frame()
 
 
-def upsert_batch(staging: str, key, order_col: str = "load_ts"):
+def upsert_batch(staging: str, key, order_col: str = "load_ts", buckets: int = 64):
     def fn(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        prev = [s for s in _snapshots(spark, staging) if s < batch_id]
-        cur = batch
-        if prev:
-            cur = spark.read.parquet(os.path.join(staging, f"snap-{prev[-1]}")).unionByName(
-                batch, allowMissingColumns=True)
-        latest_by_key(cur, key, order_col).write.mode("overwrite").parquet(os.path.join(staging, f"snap-{batch_id}"))
+        BucketedStage(batch.sparkSession, staging, key, buckets, order_col).load(batch, f"batch-{batch_id}")
     return fn
 
 
 def start_incremental_upsert(spark: SparkSession, source_dir: str, schema: StructType, key, staging: str,
                              checkpoint: str | None = None, order_col: str = "load_ts", fmt: str = "parquet",
-                             available_now: bool = True):
+                             available_now: bool = True, buckets: int = 64):
     """Start the stream; with available_now it processes what is there and stops."""
     if checkpoint is None:
         checkpoint = os.path.join(spark.conf.get("spark.checkpoint.dir"), "incremental-upsert")
     src = spark.readStream.schema(schema).format(fmt).load(source_dir)
-    w = src.writeStream.foreachBatch(upsert_batch(staging, key, order_col)).option("checkpointLocation", checkpoint)
+    w = src.writeStream.foreachBatch(upsert_batch(staging, key, order_col, buckets)).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 day")
     return w.start()
