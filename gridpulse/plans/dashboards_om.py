@@ -158,19 +158,19 @@ def q20_open_tickets(f: Filters = Filters()) -> Plan:
     if f.project_l != "all":
         preds.append(D.ilike(D.c("project"), f.project))
     preds += _ts_range(f, "created_date")
-    return _page("a18", D.and_(*preds), A18_COLS, ["ticket_id"], page_rows(f), f.offset)
+    return _page("a18", D.and_(*preds), A18_COLS, ["ticket_id"] + [c for c in A18_COLS if c != "ticket_id"], page_rows(f), f.offset)
 
 
 A19_KEYS = C.OMDIM + ["created_day", "closed_date"]
+A19_LIST = C.OMDIM + ["period_type", "period_value_created", "period_value_closed", "avg_resolution_days",
+                      "closed_tickets", "closed_date", "created_day"]
 
 
 def q22_closure_list(f: Filters = Filters()) -> Plan:
     """Closure-time rows of one period type (default daily), paged; date filters have no effect."""
     preds = dim_filters(f, OM_FILTER_DIMS | {"meter_category", "project"})
     preds.append(D.eq(D.c("period_type"), D.lit((f.duration or "daily").lower())))
-    cols = C.OMDIM + ["period_type", "period_value_created", "period_value_closed", "avg_resolution_days",
-                      "closed_tickets", "closed_date", "created_day"]
-    return _page("a19", D.and_(*preds), cols, A19_KEYS, page_rows(f), f.offset)
+    return _page("a19", D.and_(*preds), A19_LIST, A19_KEYS, page_rows(f), f.offset)
 
 
 # Q21 -------------------------------------------------------------------------

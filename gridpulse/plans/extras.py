@@ -21,6 +21,7 @@ from ..operators import builders_mi as BM
 from ..operators import dual as D
 from ..operators import joins as J
 from ..operators import maintenance as M
+from ..operators.pages import PagedList
 from ..operators.sections import Section
 from ..oracles import builders as OB
 from ..oracles.sqlbits import F1, MIDIM, cnt, ddmmyy, trunc
@@ -165,6 +166,26 @@ SELECT ticket_id, 'CONSUMER', 'open', CAST(created_date AS DATE), CAST(NULL AS D
 
 
 # S12 ------------------------------------------------------------------------------
+# R21 ------------------------------------------------------------------------------
+def _last_page(base: str, cols: list[str], order: list[str], rows: int, where=None):
+    """The last ``rows`` rows of a list as a page of the stored list, and its SQL."""
+    from .queries_dash import BASES, base_frames
+    order = [*order, *(c for c in cols if c not in order)]
+
+    def fn(spark, sf):
+        df = base_frames(spark, sf, [base])[base]
+        df = (df.where(where.col) if where else df).select(*cols)
+        store = VersionedStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/pages-{uuid.uuid4().hex[:12]}")
+        pages = PagedList.write(df, order, store, base, rows_per_file=100_000)
+        return pages.page(max(0, pages.rows - rows), rows)
+
+    def sql():
+        source = f"(SELECT {', '.join(map(D.q, cols))} FROM b_{base}{f' WHERE {where.sql}' if where else ''})"
+        by = ", ".join(f"{D.q(c)} DESC NULLS LAST" for c in order)
+        return with_facts(*as_ctes(f"b_{base}", BASES[base][2]()), select=f"SELECT * FROM {source} x ORDER BY {by} LIMIT {rows}")
+    return fn, sql
+
+
 # S10 ------------------------------------------------------------------------------
 #: A target as a database declares it: other order and case, other types, a column the source lacks.
 S10_TARGET = StructType([StructField(n, t) for n, t in (("ticket_id", StringType()), ("discom", StringType()), ("kind", StringType()),
@@ -460,6 +481,16 @@ WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSI
     reg_plan("q26_progress_list_page", QO._page("a01", D.and_(), C.MIDIM + ["period_type", "period_value", "period_start",
                                                                            "total_mi_progress"],
                                                 ["period_type", "period_start"] + C.MIDIM, 100, 200))
+    period = C.MIDIM + ["period_type", "period_value", "period_start"]
+    for name, base, cols, order in [
+            ("q20_open_tickets_last_page", "a18", QO.A18_COLS, ["ticket_id"]),
+            ("q26_progress_list_last_page", "a01", period + ["total_mi_progress"], ["period_type", "period_start"] + C.MIDIM),
+            ("q27_technician_daily_list_last_page", "a02", ["installation_date"] + C.MIDIM + ["technician", "total_installations"],
+             ["installation_date"] + C.MIDIM + ["technician"]),
+            ("q29_non_sat_list_last_page", "a07", C.MIDIM + ["meter_serial_number", "installation_date", "ageing_days"],
+             ["ageing_days", "meter_serial_number", "installation_date"])]:
+        reg(name, *_last_page(base, cols, order, 250))
+    reg("q22_closure_list_last_page", *_last_page("a19", QO.A19_LIST, QO.A19_KEYS, 250, D.eq(D.c("period_type"), D.lit("daily"))))
     reg_plan("q27_technician_daily_list_page", QO._page(
         "a02", D.and_(), ["installation_date"] + C.MIDIM + ["technician", "total_installations"],
         ["installation_date"] + C.MIDIM + ["technician"], 100, 0))
@@ -469,7 +500,6 @@ WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSI
         "a07", D.and_(), C.MIDIM + ["meter_serial_number", "installation_date", "ageing_days"],
         ["ageing_days", "meter_serial_number", "installation_date"] + C.MIDIM, 100, 0))
     by_period = ["period_type", "period_start"] + C.MIDIM
-    period = C.MIDIM + ["period_type", "period_value", "period_start"]
     reg_plan("q29_inventory_list_page", QO._page(
         "a04", D.and_(), period + ["total_inventory", "total_installed", "utilization_rate_pct", "remaining_stock"], by_period, 100, 0))
     reg_plan("q29_mi_vs_sat_list_page", QO._page(

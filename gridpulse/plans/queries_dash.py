@@ -104,7 +104,7 @@ reg_dash("q21_open_ageing_dated", {k: v for k, v in QO.q21_open_ageing(
     F0.with_(level="circle", duration="weekly", start_date="2023-10-01", end_date="2023-12-15")).items()
     if k in ("summary", "trend", "comparison")})
 reg_plan("q20_open_tickets_meter_category", QO.q20_open_tickets(Filters.from_params({"meter_category": "dt", "limit": 500})))
-reg_plan("q22_closure_list_om_category", QO.q22_closure_list(Filters.from_params({"om_category": "Feeder", "period": "monthly", "limit": 500})))
+reg_plan("q22_closure_list_om_category", QO.q22_closure_list(Filters.from_params({"om_category": "Feeder", "limit": 500})))
 reg_dash("q04_inventory_utilization_meter_category", QM.q04_inventory_utilization(Filters.from_params({"category": "total", "meter_category": "con%"})))
 reg_dash("q06_stock_ageing_meter_category", {"summary": QM.q06_stock_ageing(Filters.from_params({"meter_category": "dt"}))["summary"]})
 reg_dash("q14_defective_meters_meter_category", {"summary": QM.q14_defective_meters(
