@@ -25,7 +25,9 @@ def run_folder(spark: SparkSession, name: str) -> str:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if int(spark.conf.get(ARROW_ROWS)) > MAX_ARROW_ROWS:  # texts are long: fewer rows at once in a Python worker
         spark.conf.set(ARROW_ROWS, MAX_ARROW_ROWS)
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
+    shared = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark))
+    whole = shared.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(shared).toString()  # with scheme: the same place for Spark and for workers
+    return f"{whole.rstrip('/')}/llm-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def written(df: DataFrame, folder: str, name: str) -> DataFrame:
@@ -92,7 +94,9 @@ def connected_components(edges: DataFrame, folder: str, name: str = "components"
 def file_system(folder: str):
     """(pyarrow file system, path) of a shared folder given as a path or URI."""
     from pyarrow import fs
-    return fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else "file://" + os.path.abspath(folder))
+    if folder.startswith("file:/") and not folder.startswith("file://"):  # as Hadoop writes it
+        folder = "file://" + folder[5:]
+    return fs.FileSystem.from_uri(folder if "://" in folder else "file://" + os.path.abspath(folder))
 
 
 def schema(text: str) -> T.StructType:

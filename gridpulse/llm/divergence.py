@@ -23,7 +23,7 @@ LEAST_DOCS = 30
 TOP_TERMS = 50
 SCALE, PRIOR = 1_000_000_000, 5
 #: Text bytes handled at once, partial counts a task holds, cells (terms x sources) of a shard.
-SLICE_BYTES, HELD_ROWS, SHARD_CELLS = 8_000_000, 1_000_000, 2_000_000
+SLICE_BYTES, HELD_ROWS, SHARD_CELLS = 8_000_000, 1_000_000, 200_000
 #: Totals up to here give exact probabilities with 64 bits; larger ones are an error.
 LARGEST_TOTAL = (1 << 63) // 1000 - 1
 

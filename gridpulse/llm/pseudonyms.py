@@ -28,7 +28,7 @@ FOUND = re.compile(r"""
 | (?P<secret>(?<![0-9A-Za-z])(?:(?=[a-f]*[0-9])[0-9a-f]{32,128}|(?=[A-F]*[0-9])[0-9A-F]{32,128}|(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z]{20,64})(?![0-9A-Za-z]))
 | (?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?:\ ?[A-Z0-9]{4}){2,7}(?:\ ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))
 | (?P<date>(?<![\d/.-])(?:\d{4}(?P<s>[-/.])\d{2}(?P=s)\d{2}|\d{1,2}(?P<r>[-/.])\d{1,2}(?P=r)\d{4})(?![\d/-]|\.\d))
-| (?P<ip>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
+| (?P<ip>(?<![\d.])(?<!\bv)(?<!\bV)(?<!ersion\ )\d{1,3}(?:\.\d{1,3}){3}(?!\.?\d))
 | (?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
 | (?P<card>(?<!\d)(?:\d{13,19}|\d{4}(?P<c>[ -])\d{4}(?P=c)\d{4}(?P=c)\d{1,7}|\d{4}(?P<a>[ -])\d{6}(?P=a)\d{5})(?!\d))
 | (?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?)?\(\d{2,4}\)[ .-]?\d{3,4}(?:[ .-]?\d{2,4}){1,2}(?!\d)|\+\d{1,3}(?:[ .-]?\d{2,4}){2,5}(?!\d)|(?<![\d.-])\d{3}(?P<q>[.-])\d{3}(?P=q)\d{4}(?!-?\d|\.\d))
@@ -38,8 +38,8 @@ IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 "
     "IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 "
     "SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30").split()}
-#: A text without any of these has nothing to find.
-MAY_HOLD = re.compile(r"\d|@")
+#: A text without any of these has nothing to find: each kind holds a digit or an @, but for secrets, which may be letters behind their lead.
+MAY_HOLD = re.compile(r"\d|@|AKIA|ASIA|gh[pousr]_|sk-")
 
 
 def permute(value: int, size: int, key: bytes, kind: str, back: bool = False) -> int:
@@ -144,18 +144,27 @@ def _phone(text, key, back):
     if not 7 <= len(digits) <= 15:
         return None
     code = len(re.match(r"\+?(\d{0,3})(?=[ .-]|\()", text)[1]) if text.startswith("+") and re.match(r"\+\d{1,3}(?=[ .-]|\()", text) else 0
+    if not code and text.startswith("+1") and len(digits) == 11:
+        code = 1
     rest = digits[code:]
-    return _refill(text, digits[:code] + f"{permute(int(rest), 10 ** len(rest), key, f'phone{digits[:code]}', back):0{len(rest)}d}")
+    region = "1" if len(rest) == 10 and digits[:code] in ("", "1") else digits[:code]  # one national number, with its code or without
+    return _refill(text, digits[:code] + f"{permute(int(rest), 10 ** len(rest), key, f'phone{region}', back):0{len(rest)}d}")
 
 
 def _ssn(text, key, back):
-    digits = text.replace("-", "")
-    return _refill(text, f"{permute(int(digits), 10 ** 9, key, 'ssn', back):09d}")
+    """Areas 001 to 899 but 666, groups from 01, serial numbers from 0001."""
+    area, group, serial = map(int, text.split("-"))
+    if not 1 <= area <= 899 or area == 666 or not group or not serial:
+        return None
+    number = permute(((area - 1 - (area > 666)) * 99 + group - 1) * 9999 + serial - 1, 898 * 99 * 9999, key, "ssn", back)
+    area, group, serial = number // (99 * 9999) + 1, number // 9999 % 99 + 1, number % 9999 + 1
+    return f"{area + (area >= 666):03d}-{group:02d}-{serial:04d}"
 
 
 def _email(text, key, back):
     name, at, host = text.rpartition("@")
-    return permute_chars(name, by_class(name), key, "email", back) + at + host
+    own, dot, top = host.rpartition(".")  # a host may name a family; its top-level domain stays
+    return permute_chars(name, by_class(name), key, "email", back) + at + permute_chars(own, by_class(own), key, "host", back) + dot + top
 
 
 def _secret(text, key, back):

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, run_folder, text_of, written
+from .common import connected_components, free_name, run_folder, text_of, written
 
 SHINGLE_WORDS = 4
 RADIUS = 4
@@ -141,15 +141,16 @@ def one_of_each(docs: DataFrame, folder: str, id_column: str = "doc_id", text_co
     best = found.groupBy("component").agg(best).select(F.col("best.doc_id").alias("_i"), F.col("best.h").alias("_h"))
     times = found.groupBy("doc_id", "h").agg(F.count("*").alias("n"))
     best = written(best.join(times, best["_i"].eqNullSafe(times["doc_id"]) & (best["_h"] == times["h"])).select("_i", "_h", "n"), folder, "best")
-    keyed = docs.withColumns({"__i": F.col(id_column).cast("long"), "__h": F.xxhash64(text_of(text_column))})
+    i, h = free_name(docs, "i_"), free_name(docs, "h_")
+    keyed = docs.withColumns({i: F.col(id_column).cast("long"), h: F.xxhash64(text_of(text_column))})
 
     def those(which: DataFrame) -> DataFrame:
-        return keyed.join(which.hint("merge"), keyed["__i"].eqNullSafe(which["_i"]) & (keyed["__h"] == which["_h"]), "left_semi")
+        return keyed.join(which.hint("merge"), keyed[i].eqNullSafe(which["_i"]) & (keyed[h] == which["_h"]), "left_semi")
 
     out = those(best.filter("n = 1"))
     again = best.filter("n > 1")
     if not again.isEmpty():  # rows that come more than once
-        out = out.union(those(again).dropDuplicates(["__i", "__h"]))
+        out = out.union(those(again).dropDuplicates([i, h]))
     return out.select(*docs.columns)
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -29,8 +30,24 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(value: str | None) -> int | None:
-    number = (value or "<urn:page:>")[10:-1]
-    return int(number) if number else None
+    """The page that a record id of this writer names; None of any other."""
+    own = re.fullmatch(r"<urn:page:(-?\d+)>", value or "")
+    return int(own[1]) if own else None
+
+
+class DamagedArchive(ValueError):
+    """A record that can't be read as it says, or that differs from its digest."""
+
+
+def verify(named: str | None, data: bytes, what: str) -> None:
+    """Check a digest ``algorithm:value`` (hexadecimal or base 32); one that is missing or of an unknown algorithm is passed over."""
+    algorithm, _, value = (named or "").partition(":")
+    algorithm = algorithm.strip().lower().replace("-", "")
+    if algorithm not in ("md5", "sha1", "sha256", "sha384", "sha512"):
+        return
+    digest = hashlib.new(algorithm, data).digest()
+    if value.lower() != digest.hex() and value.upper().rstrip("=") != base64.b32encode(digest).decode().rstrip("="):
+        raise DamagedArchive(f"{what} digest differs")
 
 
 def to_record(page_id: int | None, url: str | None, payload: bytes, sha256: str, refers_to: int | None) -> bytes:
@@ -62,8 +79,11 @@ def members(file, read_bytes: int = READ_BYTES) -> Iterator[Iterator[bytes]]:
         while not inflate.eof:
             left = left or file.read(read_bytes)
             if not left:
-                raise ValueError("the archive ends within a record")
-            yield inflate.decompress(left)
+                raise DamagedArchive("the archive ends within a record")
+            try:
+                yield inflate.decompress(left)
+            except zlib.error as bad:
+                raise DamagedArchive("not a gzip member") from bad
             left = inflate.unused_data
     while left := left or file.read(read_bytes):
         one = parts()
@@ -78,43 +98,51 @@ class _Framed:
     def __init__(self, parts: Iterator[bytes]):
         self.parts, self.rest = parts, b""
 
+    def _more(self) -> bytes:
+        for part in self.parts:
+            return part
+        raise DamagedArchive("a record ends within its header or block")
+
     def until(self, mark: bytes) -> bytes:
         while (at := self.rest.find(mark)) < 0:
-            self.rest += next(self.parts)
+            self.rest += self._more()
         head, self.rest = self.rest[:at], self.rest[at + len(mark):]
         return head
 
     def take(self, n: int) -> Iterator[bytes]:
         while n:
-            self.rest = self.rest or next(self.parts)
+            self.rest = self.rest or self._more()
             part, self.rest = self.rest[:n], self.rest[n:]
             n -= len(part)
             yield part
 
 
 def fields(head: bytes) -> dict[str, str]:
-    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode().split("\r\n")[1:])}
+    return {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in head.decode("utf-8", "replace").split("\r\n")[1:])}
 
 
 def read_records(file) -> Iterator[dict]:
-    """Every record: its fields, payload length and payload (None of a revisit), digests verified."""
+    """Every record: its fields, payload length (of a revisit that of the HTTP header, None without) and payload (None of a revisit).
+
+    The payload of an HTTP response or request is what follows its header, of any other record the block. Digests that are there are verified;
+    ``DamagedArchive`` is raised for anything else than whole records.
+    """
     for parts in members(file):
         framed = _Framed(parts)
         record = fields(framed.until(b"\r\n\r\n"))
-        block = list(framed.take(int(record["content-length"])))
+        if not record.get("content-length", "").isdigit() or "warc-type" not in record:
+            raise DamagedArchive("a record without a type or a length")
+        block = b"".join(framed.take(int(record["content-length"])))
         if b"".join([framed.rest, *framed.parts]) != b"\r\n\r\n":
-            raise ValueError("a record doesn't end where its Content-Length says")
-        sha1 = hashlib.sha1()
-        for part in block:
-            sha1.update(part)
-        if record["warc-block-digest"] != "sha1:" + base64.b32encode(sha1.digest()).decode():
-            raise ValueError("block digest differs")
-        http, _, payload = b"".join(block).partition(b"\r\n\r\n")
-        record["payload_bytes"] = int(fields(http)["content-length"])
-        if record["warc-type"] == "response":
-            if len(payload) != record["payload_bytes"] or record["warc-payload-digest"] != "sha256:" + hashlib.sha256(payload).hexdigest():
-                raise ValueError("payload digest differs")
-            record["payload"] = payload
+            raise DamagedArchive("a record doesn't end where its Content-Length says")
+        verify(record.get("warc-block-digest"), block, "block")
+        http, _, payload = block.partition(b"\r\n\r\n") if record.get("content-type", "").startswith("application/http") else (b"", b"", block)
+        if record["warc-type"] == "revisit":
+            length = fields(http).get("content-length", "")
+            record["payload_bytes"] = int(length) if length.isdigit() else None
+        else:
+            verify(record.get("warc-payload-digest"), payload, "payload")
+            record["payload_bytes"], record["payload"] = len(payload), payload
         yield record
 
 
@@ -157,7 +185,10 @@ def write_archives(pages: DataFrame, folder: str, id_column: str = "page_id", ur
 
 
 def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -> DataFrame:
-    """Every record of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null of revisits)."""
+    """Every response and revisit of the archives: page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload (null of revisits).
+
+    page_id and refers_to are null where a record's id isn't one of this writer's; a digest of another algorithm than SHA-256 keeps its name in front.
+    """
     files = manifest.select("shard", "file").repartition(max(1, manifest.count()), "shard")
 
     def read(batches):
@@ -170,8 +201,10 @@ def read_archives(manifest: DataFrame, folder: str, with_payload: bool = True) -
                 with source.open_input_stream(f"{path}/{name}", compression=None) as file:
                     rows, held = [], 0
                     for r in read_records(file):
+                        if r["warc-type"] not in ("response", "revisit"):
+                            continue
                         payload = r.get("payload")
-                        rows.append((page_of(r["warc-record-id"]), r["warc-target-uri"], r["payload_bytes"], r["warc-payload-digest"][7:], r["warc-type"],
+                        rows.append((page_of(r.get("warc-record-id")), r.get("warc-target-uri"), r["payload_bytes"], (r.get("warc-payload-digest") or "").removeprefix("sha256:") or None, r["warc-type"],
                                      page_of(r.get("warc-refers-to")), payload if with_payload else None))
                         held += 256 + len(payload or b"") * with_payload
                         if held > 4_000_000:
