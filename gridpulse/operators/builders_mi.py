@@ -80,11 +80,12 @@ def inventory_utilization(meters: DataFrame) -> DataFrame:
     rest = [*GEO, "new_meter_type", "meter_category"]
     state = (meters.select(*_dims(False), basis.alias("day"), F.trunc(F.col("mi_date"), "week").alias("week"), inst.alias("_inst"))
              .groupBy(*C.MIDIM, "day", "week").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_inst")).alias("inst")))
-    sums = {m: F.sum(m) for m in ("n", "inst")}
-    weekly = (state.groupBy(*C.MIDIM, F.col("week").alias("period_start")).agg(*[c.alias(m) for m, c in sums.items()])
-              .select(*C.MIDIM, F.lit("weekly").alias("period_type"), "period_start", *sums))
-    others = roll_up(state.select(X.norm_upper("project").alias("project"), *rest, "day", *sums), C.MIDIM, "day", sums, ("monthly", "daily"))
-    agg = weekly.union(others)
+    named = X.norm_upper("project")
+    grains = F.array(*[F.struct(F.lit(g).alias("g"), p.alias("project"), d.alias("d")) for g, p, d in (
+        ("weekly", F.col("project"), F.col("week")), ("monthly", named, F.trunc("day", "month")), ("daily", named, F.col("day")))])
+    agg = (state.select(*rest, "n", "inst", F.explode(grains).alias("_g"))
+           .groupBy(F.col("_g.project").alias("project"), *rest, F.col("_g.g").alias("period_type"), F.col("_g.d").alias("period_start"))
+           .agg(F.sum("n").alias("n"), F.sum("inst").alias("inst")))
     return _finish(agg).select(*C.MIDIM, "period_type", "period_value", "period_start", *_inventory_measures())
 
 
