@@ -23,8 +23,9 @@ GEO = ["discom", "zone", "circle", "division", "subdivision", "substation", "fee
 
 def _dims(project_normalised: bool):
     """MIDIM select list: project (raw or P3), geo, new_meter_type, meter_category."""
-    proj = X.norm_upper("project") if project_normalised else F.col("project")
-    return [proj.alias("project"), *[F.col(g) for g in GEO],
+    # a redundant alias would make the branches of a roll-up differ, and its exchange would be computed more than once
+    proj = X.norm_upper("project").alias("project") if project_normalised else F.col("project")
+    return [proj, *[F.col(g) for g in GEO],
             F.col("metertype").alias("new_meter_type"), X.meter_category().alias("meter_category")]
 
 
