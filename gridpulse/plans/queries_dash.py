@@ -151,3 +151,7 @@ reg_dash("q09_meter_journey_as_on", QM.q09_meter_journey(F0.with_(duration="late
 reg_dash("q09_meter_journey_unknown_level", {"comparison": QM.q09_meter_journey(F0.with_(level="block"))["comparison"]})
 reg_dash("q13_revenue_ageing_dtr", QM.q13_revenue_ageing(F0.with_(category="dtr")))
 reg_dash("q14_defective_meters_dtr", QM.q14_defective_meters(F0.with_(category="dtr", duration="weekly")))
+
+from .crews import register_all as _register_crews  # noqa: E402
+
+_register_crews()
