@@ -278,12 +278,31 @@ usable AS (
     AND TRIM(subdivision) <> '')"""
 
 
+def _staged(spark, name: str, df):
+    """``df`` written once, as the job finds its input files."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _m02(spark, sf):
-    m = bind_meters(spark, sf)
-    raw = _mapping_raw(m)
+    m = bind_meters(spark, sf).select("meterserialnumber", *C.GEO5)
+    raw = _staged(spark, "mapping", _mapping_raw(m))
     return M.backfill_geo(m, raw, S.clean_geo_mapping(raw))
 
 
+def _m02_files(spark, sf):
+    """The meter table repaired file by file; (files, stats)."""
+    m = bind_meters(spark, sf).select("meterserialnumber", *C.GEO5)
+    raw = _staged(spark, "mapping", _mapping_raw(m))
+    files = M.MeterFiles(VersionedStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/meter-files-{uuid.uuid4().hex[:12]}")).create(m)
+    return files, files.repair(raw, S.clean_geo_mapping(raw))
+
+
+def _m02_files_result(spark, sf):
+    return _m02_files(spark, sf)[0].frame().groupBy(*C.GEO5).agg(F.count(F.lit(1)).alias("meters"))
+
+
 def _m02_stats_sql():
     return with_facts(MAPPING_SQL, select=f"""
 SELECT (SELECT CAST(COUNT(*) AS BIGINT) FROM raw_map) AS loaded,
@@ -462,6 +481,8 @@ SELECT CAST(COUNT(DISTINCT TRIM(meterserialnumber)) AS BIGINT) AS missing_geo_me
 WHERE meterserialnumber IS NOT NULL AND TRIM(meterserialnumber) <> '' AND {MISSING_SQL}"""))
     reg("m02_geo_backfill_stats", lambda s, sf: _m02(s, sf)[1], _m02_stats_sql)
     reg("m02_geo_backfill_result", _m02_result, _m02_result_sql)
+    reg("m02_file_repair_stats", lambda s, sf: _m02_files(s, sf)[1], _m02_stats_sql)
+    reg("m02_file_repair_result", _m02_files_result, _m02_result_sql)
     reg("m03_non_sat_ageing_periods", lambda s, sf: M.non_sat_ageing_periods(BM.non_sat_ageing(bind_meters(s, sf))),
         _m03_sql)
     reg("j07_inventory_installations", _j07, _j07_sql)

@@ -59,10 +59,12 @@ class VersionedStore:
     def full(self, folder: str) -> str:
         return f"{self.root}/{folder}"
 
-    def commit(self, tables: dict[str, str], base: dict, notes: dict | None = None) -> int:
-        """The version after ``base``: its tables, those in ``tables`` replaced or added. All of them become visible at once."""
+    def commit(self, tables: dict[str, str], base: dict, notes: dict | None = None, drop: list[str] | None = None) -> int:
+        """The version after ``base``: its tables without those in ``drop``, those in ``tables`` replaced or added. All of them become visible at once."""
         version = base["version"] + 1
-        text = json.dumps({"version": version, "at": time.time(), "tables": base["tables"] | tables, "notes": base["notes"] | (notes or {})})
+        gone = set(drop or ())
+        stay = {name: folder for name, folder in base["tables"].items() if name not in gone}
+        text = json.dumps({"version": version, "at": time.time(), "tables": stay | tables, "notes": base["notes"] | (notes or {})})
         new, final = self._path(f"_versions/.{uuid.uuid4().hex}"), self._path(f"_versions/v{version:08d}.json")
         out = self._fs.create(new, False)
         out.write(bytearray(text.encode()))
