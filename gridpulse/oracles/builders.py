@@ -51,9 +51,9 @@ SELECT {DIMS_NORM}, 'daily', {ddmmyy('COALESCE(didate, mi_date)')}, COALESCE(did
 FROM meters GROUP BY ALL""")
 
 
-def a05():
+def a05(as_of=AS_OF):
     mo = trunc("month", "didate")
-    return with_facts(f"b AS (SELECT {DIMS_RAW}, didate, CAST(date_diff('day', didate, {AS_OF}) AS INTEGER) AS days_diff "
+    return with_facts(f"b AS (SELECT {DIMS_RAW}, didate, CAST(date_diff('day', didate, {as_of}) AS INTEGER) AS days_diff "
                       f"FROM meters WHERE installedts IS NULL AND didate IS NOT NULL)", select=f"""
 SELECT {MIDIM}, 'monthly' AS period_type, {ddmmyy(mo)} AS period_value, {mo} AS period_start,
        {age_buckets('days_diff')}
@@ -197,9 +197,9 @@ WHERE lumpsum_invoice_date IS NOT NULL OR pmpm_invoice_date IS NOT NULL
 GROUP BY ALL""")
 
 
-def a15():
+def a15(as_of=AS_OF):
     mo = trunc("month", "sat_date")
-    return with_facts(f"b AS (SELECT {DIMS_RAW}, sat_date, CAST(date_diff('day', sat_date, {AS_OF}) AS INTEGER) AS days_diff "
+    return with_facts(f"b AS (SELECT {DIMS_RAW}, sat_date, CAST(date_diff('day', sat_date, {as_of}) AS INTEGER) AS days_diff "
                       f"FROM meters WHERE sat_date IS NOT NULL AND lumpsum_collection_date IS NULL "
                       f"AND pmpm_collection_date IS NULL)", select=f"""
 SELECT {MIDIM}, 'monthly' AS period_type, {ddmmyy(mo)} AS period_value, {mo} AS period_start,

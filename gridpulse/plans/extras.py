@@ -7,6 +7,7 @@ tables by fixed rules, so every query's work grows with the data.
 """
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 from pyspark.sql import Window
@@ -21,6 +22,7 @@ from ..operators import builders_mi as BM
 from ..operators import dual as D
 from ..operators import joins as J
 from ..operators import maintenance as M
+from ..operators.ageing import AgeHistogram, classes_of
 from ..operators.pages import PagedList
 from ..operators.sections import Section
 from ..oracles import builders as OB
@@ -28,6 +30,7 @@ from ..oracles.sqlbits import F1, MIDIM, cnt, ddmmyy, trunc
 from ..session import ensure_checkpoint_dir
 from ..sources import files as S
 from ..sources import incremental as INC
+from ..sources import rejects as RJ
 from ..sources.fixtures import as_ctes, bind_complaints, bind_meters, with_facts
 from ..sources.sinks import write_aligned
 from ..sources.versions import VersionedStore
@@ -165,6 +168,108 @@ UNION ALL
 SELECT ticket_id, 'CONSUMER', 'open', CAST(created_date AS DATE), CAST(NULL AS DATE) FROM complaints""")
 
 
+# S5, S11 with rejects --------------------------------------------------------------
+def _complaint_lines(spark, sf):
+    """Tickets as CSV lines in files; those whose number ends in 1 to 4 are damaged, in four ways."""
+    raw = bind_complaints(spark, sf).select("ticket_id", "created_date", "closed_date")
+    kind = F.col("ticket_id").cast("long") % 10
+    time = "yyyy-MM-dd HH:mm:ss"
+    created = F.when(kind == 3, "31-02-2023 10:00:00").otherwise(F.date_format("created_date", time))
+    closed = F.when(kind == 4, "never").otherwise(F.coalesce(F.date_format("closed_date", time), F.lit("")))
+    cells = F.when(kind == 1, F.array("ticket_id", created, closed, F.lit("more"))).when(kind == 2, F.array("ticket_id", created)).otherwise(
+        F.array("ticket_id", created, closed))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/complaint-lines-{uuid.uuid4().hex[:12]}"
+    raw.select(F.array_join(cells, ",").alias("line")).write.text(path)
+    return RJ.read_strings(spark, path, ["ticket_id", "CreatedDate", "ClosedDate"])
+
+
+def _quarantined(spark, rows, reasons):
+    store = VersionedStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/quarantine-{uuid.uuid4().hex[:12]}")
+    return RJ.Quarantine(store, "rows").write(rows, reasons(rows))
+
+
+def _s05_rejects(spark, sf):
+    rejects = _quarantined(spark, _complaint_lines(spark, sf), RJ.complaint_reasons).rejects()
+    return rejects.select("ticket_id", F.array_join("reasons", "; ").alias("reasons"), "record")
+
+
+def _s05_kept(spark, sf):
+    kept = S.complaint_frame(_quarantined(spark, _complaint_lines(spark, sf), RJ.complaint_reasons).kept(), "CONSUMER", "closed")
+    return kept.select("ticket_id", F.to_date("created_date").alias("created_day"), F.to_date("closed_date").alias("closed_day"))
+
+
+def _s05_balance(spark, sf):
+    rows = _complaint_lines(spark, sf)
+    return _quarantined(spark, rows, RJ.complaint_reasons).reconciliation(rows)
+
+
+def _s11_rejects(spark, sf):
+    raw = _staged(spark, "mapping", _mapping_raw(bind_meters(spark, sf)))
+    rejects = _quarantined(spark, raw, RJ.mapping_reasons).rejects()
+    return rejects.select(F.trim("meter_serial_number").alias("meter_serial_number"), F.array_join("reasons", "; ").alias("reasons"))
+
+
+_TICKET_KIND = "CAST(ticket_id AS BIGINT) % 10"
+
+
+def _s05_rejects_sql():
+    created, closed = "strftime(created_date, '%Y-%m-%d %H:%M:%S')", "COALESCE(strftime(closed_date, '%Y-%m-%d %H:%M:%S'), '')"
+    return with_facts(select=f"""
+SELECT ticket_id, CASE {_TICKET_KIND} WHEN 3 THEN 'CreatedDate is no time' WHEN 4 THEN 'ClosedDate is no time' ELSE 'wrong number of cells' END AS reasons,
+       ticket_id || CASE {_TICKET_KIND} WHEN 1 THEN ',' || {created} || ',' || {closed} || ',more' WHEN 2 THEN ',' || {created}
+                    WHEN 3 THEN ',31-02-2023 10:00:00,' || {closed} ELSE ',' || {created} || ',never' END AS record
+FROM complaints WHERE {_TICKET_KIND} BETWEEN 1 AND 4""")
+
+
+def _s05_kept_sql():
+    return with_facts(select=f"""SELECT ticket_id, CAST(created_date AS DATE) AS created_day, CAST(closed_date AS DATE) AS closed_day
+FROM complaints WHERE {_TICKET_KIND} NOT BETWEEN 1 AND 4""")
+
+
+def _s05_balance_sql():
+    return with_facts(select=f"""SELECT CAST(COUNT(*) AS BIGINT) AS "read", CAST(COUNT(*) FILTER (WHERE {_TICKET_KIND} NOT BETWEEN 1 AND 4) AS BIGINT) AS kept,
+       CAST(COUNT(*) FILTER (WHERE {_TICKET_KIND} BETWEEN 1 AND 4) AS BIGINT) AS rejected, TRUE AS balanced FROM complaints""")
+
+
+def _s11_rejects_sql():
+    return with_facts(MAPPING_SQL, select="""SELECT TRIM(meter_serial_number) AS meter_serial_number, 'division is blank' AS reasons
+FROM raw_map WHERE TRIM(division) = ''""")
+
+
+# Ageing from a histogram ------------------------------------------------------------
+#: Two run dates: the fixtures' own and one that cuts the facts in two.
+RUN_DATES = (C.DEFAULT.meter_as_of, dt.date(1996, 3, 15))
+
+
+def _histogram(spark, name, day):
+    return AgeHistogram(VersionedStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/ageing-{uuid.uuid4().hex[:12]}"), name, C.MIDIM, day)
+
+
+def _aged(hist, names):
+    """A5's and A15's rows at both run dates, of one histogram."""
+    parts = [hist.at(d, classes_of(C.STOCK_AGE_BOUNDS, names), "month").select(F.lit(d).alias("as_of"), *C.MIDIM, "period_start", *names) for d in RUN_DATES]
+    return parts[0].unionByName(parts[1])
+
+
+def _a05_histogram(spark, sf):
+    """Stock as what came in less what was installed: two loads."""
+    came = bind_meters(spark, sf).where(F.col("didate").isNotNull()).select(*BM._dims(False), "didate", "installedts")
+    hist = _histogram(spark, "stock", "didate").add(came, "received").add(came.where(F.col("installedts").isNotNull()), "installed", -1)
+    return _aged(hist, BM.AGE4)
+
+
+def _a15_histogram(spark, sf):
+    due = bind_meters(spark, sf).where(P.sat_not_collected()).select(*BM._dims(False), "sat_date")
+    early = F.col("sat_date") < F.lit(dt.date(1995, 6, 1))
+    return _aged(_histogram(spark, "uncollected", "sat_date").add(due.where(early), "early").add(due.where(~early), "late"), BM.AGE4)
+
+
+def _aged_sql(builder):
+    # each run date's SELECT keeps its own fact CTEs
+    parts = [f"SELECT DATE '{d}' AS as_of, {MIDIM}, period_start, {', '.join(BM.AGE4)} FROM ({builder(f"DATE '{d}'")}) x{i}" for i, d in enumerate(RUN_DATES)]
+    return " UNION ALL ".join(parts)
+
+
 # S12 ------------------------------------------------------------------------------
 # R21 ------------------------------------------------------------------------------
 def _last_page(base: str, cols: list[str], order: list[str], rows: int, where=None):
@@ -470,6 +575,12 @@ def register_all():
     reg("s03_installation_staging", _s03, _s03_sql)
     reg("s04_inventory_staging", _s04, _s04_sql)
     reg("s05_complaint_files", _s05, _s05_sql)
+    reg("s05_rejects", _s05_rejects, _s05_rejects_sql)
+    reg("s05_kept_rows", _s05_kept, _s05_kept_sql)
+    reg("s05_reconciliation", _s05_balance, _s05_balance_sql)
+    reg("s11_rejects", _s11_rejects, _s11_rejects_sql)
+    reg("a05_stock_ageing_two_dates", _a05_histogram, lambda: _aged_sql(OB.a05))
+    reg("a15_revenue_ageing_two_dates", _a15_histogram, lambda: _aged_sql(OB.a15))
     reg("s06_mixed_date_parse", _s06, _s06_sql)
     reg("s07_align_concat", _s07, _s07_sql)
     reg("s08_time_enrichment", _s08, _s08_sql)
