@@ -60,17 +60,23 @@ def place(df: DataFrame, keys: list[str], shards: tuple[str, ...] = SHARDS, size
     return df.withColumn(slot, F.pmod(key, F.lit(size).cast("long"))).join(F.broadcast(table), slot).select(*df.columns, slot, shard)
 
 
-def write_shards(df: DataFrame, folder: str, keys: list[str], shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int = 4) -> DataFrame:
+def write_shards(df: DataFrame, folder: str, keys: list[str], shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE, files_per_shard: int | None = None) -> DataFrame:
     """Write ``df`` as one folder of Parquet files per shard, and return what was written, with slot and shard.
 
-    A shard is dealt over ``files_per_shard`` tasks by a hash of the whole rows (columns of maps and variants aside), so the rows of a hot key are spread, too; rows equal throughout stay together.
+    Shards are gathered by a rebalancing shuffle: adaptive execution measures it, puts small shards together in a task and splits a large one, by
+    blocks of rows, into files of the advisory size, so neither the rows of a hot key nor rows equal throughout must lie in one task. With ``files_per_shard``
+    a shard has that many files instead, dealt by a hash of the whole rows (columns of maps and variants aside).
     """
     placed = place(df, keys, shards, size)
     shard = placed.columns[-1]
-    whole = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
-    file = F.pmod(F.xxhash64(F.lit("file"), *whole), F.lit(files_per_shard).cast("long"))
-    number = F.array_position(F.split(F.lit("\n".join(sorted(shards))), "\n"), F.col(shard)) - 1
-    placed.repartitionById(len(shards) * files_per_shard, (number * files_per_shard + file).cast("int")).write.partitionBy(shard).parquet(folder)
+    if files_per_shard is None:
+        dealt = placed.hint("rebalance", shard)
+    else:
+        whole = [c for c, t in df.dtypes if "map<" not in t and "variant" not in t]
+        file = F.pmod(F.xxhash64(F.lit("file"), *whole), F.lit(files_per_shard).cast("long"))
+        number = F.array_position(F.split(F.lit("\n".join(sorted(shards))), "\n"), F.col(shard)) - 1
+        dealt = placed.repartitionById(len(shards) * files_per_shard, (number * files_per_shard + file).cast("int"))
+    dealt.write.partitionBy(shard).parquet(folder)
     return df.sparkSession.read.schema(placed.schema).parquet(folder).select(*placed.columns)
 
 
