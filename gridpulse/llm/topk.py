@@ -45,11 +45,18 @@ def pivot_table(vectors: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 
 def inner(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: by doubles where every partial sum is below 2^53, else by integers."""
+    """Exact integer inner products: by doubles where every partial sum is below 2^53, else by integers. A product beyond 64 bits is an error."""
     if not len(vectors) or not len(queries):
         return np.zeros((len(queries), len(vectors)), "i8")
-    top = float(np.abs(queries).max()) * float(np.abs(vectors).max()) * queries.shape[1]
-    return (queries.astype("f8") @ vectors.astype("f8").T).astype("i8") if top < 2.0 ** 53 else queries @ vectors.T
+    top = float(np.abs(queries.astype("f8")).max()) * float(np.abs(vectors.astype("f8")).max()) * queries.shape[1]
+    if top < 2.0 ** 53:
+        return (queries.astype("f8") @ vectors.astype("f8").T).astype("i8")
+    if top < 2.0 ** 62:
+        return queries @ vectors.T
+    exact = queries.astype(object) @ vectors.T.astype(object)
+    if exact.max() >= 2 ** 63 or exact.min() < -2 ** 63:
+        raise OverflowError("an inner product lies beyond 64 bits; use a smaller scale")
+    return exact.astype("i8")
 
 
 def search_block(q_ids, queries, q_table, c_ids, vectors, c_table, k: int, best: list) -> int:
@@ -76,10 +83,9 @@ def search_block(q_ids, queries, q_table, c_ids, vectors, c_table, k: int, best:
                 break
             take = order[at:at + STEP]
             at += STEP
-            got = inner(queries[i:i + 1], vectors[take])[0]
             done += len(take)
-            keep = c_ids[take] != q_ids[i]
-            scores, ids = np.concatenate([scores, got[keep]]), np.concatenate([ids, c_ids[take][keep]])
+            take = take[c_ids[take] != q_ids[i]]  # before the products: a long vector's with itself may be too large
+            scores, ids = np.concatenate([scores, inner(queries[i:i + 1], vectors[take])[0]]), np.concatenate([ids, c_ids[take]])
             first = np.lexsort((ids, -scores))[:k]
             scores, ids = scores[first], ids[first]
         best[i] = scores, ids
@@ -90,7 +96,7 @@ def top_k(vectors: DataFrame, folder: str, id_column: str = "vec_id", vector_col
           query_filter: str = "id % 50 = 0", pivots: int = PIVOTS, block_rows: int = BLOCK_ROWS, query_block_rows: int = QUERY_BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score) of the ``k`` best candidates of every query; ties go to the smaller id.
 
-    A component x counts as floor(scale * x). ``query_filter`` is a condition on ``id``. All rows are candidates but those with the query's own id.
+    A component x counts as floor(scale * x); components and scores beyond 64 bits are an error. ``query_filter`` is a condition on ``id``. All rows are candidates but those with the query's own id.
     Rows with a null id, a null vector or a null, NaN or infinite component take no part; vectors are compared with those of their own length only, empty
     vectors with none. An id may repeat: every row is a query and a candidate of its own, but never a candidate for its own id, and the ``k`` best of an id are those
     of all its query rows together, as in the registered SQL. Other columns are not read. An empty table gives no row.
@@ -100,7 +106,8 @@ def top_k(vectors: DataFrame, folder: str, id_column: str = "vec_id", vector_col
     clean = (vectors.select(F.col(id_column).cast("long").alias("id"), x.alias("v")).filter("id is not null and v is not null and size(v) > 0")
              .withColumn("v", F.transform("v", lambda c: c.cast("double")))
              .filter(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-             .select("id", F.transform("v", lambda c: F.floor(F.lit(float(scale)) * c).cast("long")).alias("v"), F.size("v").alias("dim")))
+             .select("id", F.transform("v", lambda c: F.when(F.abs(F.lit(float(scale)) * c) < 2.0 ** 63, F.floor(F.lit(float(scale)) * c).cast("long"))
+                                       .otherwise(F.raise_error(F.lit("a component lies beyond 64 bits; use a smaller scale")).cast("long"))).alias("v"), F.size("v").alias("dim")))
     # equal rows beyond the k-th can't add to the k best
     copies = clean.groupBy("id", "v", "dim").agg(F.count("*").alias("n"))
     clean = written(copies.select("id", "v", "dim", F.explode(F.sequence(F.lit(1), F.least(F.col("n"), F.lit(k)).cast("int"))).alias("copy")).drop("copy"), folder, "vectors")
