@@ -265,9 +265,10 @@ def _a15_histogram(spark, sf):
 
 
 def _aged_sql(builder):
-    # each run date's SELECT keeps its own fact CTEs
-    parts = [f"SELECT DATE '{d}' AS as_of, {MIDIM}, period_start, {', '.join(BM.AGE4)} FROM ({builder(f"DATE '{d}'")}) x{i}" for i, d in enumerate(RUN_DATES)]
-    return " UNION ALL ".join(parts)
+    # each run date keeps its own fact CTEs
+    dates = ", ".join(f"d{i} AS ({builder(f"DATE '{d}'")})" for i, d in enumerate(RUN_DATES))
+    parts = [f"SELECT DATE '{d}' AS as_of, {MIDIM}, period_start, {', '.join(BM.AGE4)} FROM d{i}" for i, d in enumerate(RUN_DATES)]
+    return f"WITH {dates} " + " UNION ALL ".join(parts)
 
 
 # S12 ------------------------------------------------------------------------------
