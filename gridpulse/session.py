@@ -51,3 +51,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", cp)
     spark.sparkContext.setCheckpointDir(cp)
     return cp
+
+
+def case_sensitive(spark: SparkSession) -> SparkSession:
+    """A session beside ``spark`` with its settings, in which names that differ in case only are two columns: frames made in it can be written."""
+    own = spark.newSession()
+    for key, value in spark.conf.getAll.items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    own.conf.set("spark.sql.caseSensitive", "true")
+    return own
