@@ -25,3 +25,29 @@ def test_names_that_differ_in_case_can_be_written(spark, tmp_path):
     df.write.parquet(str(tmp_path / "out"))
     assert ds.dataset(str(tmp_path / "out")).schema.names == df.columns and {"DIDate", "didate"} <= set(df.columns)
     assert spark.conf.get("spark.sql.caseSensitive") == "false"  # the caller's session stays as it is
+
+
+def test_lineitem_is_shuffled_twice(spark):
+    """By part and by order; the customers go to the orders."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = bind_meters(spark, SF_SMALL)
+        rows = len(df.collect())
+        orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet").count()
+        assert shuffled_rows(df) < 2 * rows + 4 * orders < 3 * rows + orders
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_grains_of_a4_share_one_exchange(spark):
+    df = BM.inventory_utilization(bind_meters(spark, SF_SMALL).limit(2000).localCheckpoint())
+    df.collect()
+    assert len(named(df, "ShuffleExchangeExec")) <= 3  # limit, groups, groups by the shared columns
+    assert shuffled_rows(df) <= 2 * 2000 + 2000
+
+
+def test_coarser_grains_share_one_exchange(spark):
+    rows = spark.range(0, 3000, 1, 3).select((F.col("id") % 1000).alias("k"), F.date_add(F.lit(dt.date(2024, 1, 1)), (F.col("id") % 300).cast("int")).alias("d"))
+    out = roll_up(rows, ["k"], "d", {"n": F.count(F.lit(1))})
+    out.collect()
+    assert shuffled_rows(out) <= 2 * 3000
