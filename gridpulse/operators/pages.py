@@ -42,13 +42,18 @@ class PagedList:
 
     @classmethod
     def write(cls, df: DataFrame, order: list[str], store: VersionedStore, name: str, rows_per_file: int = ROWS_PER_FILE) -> PagedList:
-        """Store ``df`` as a list: one pass for the row count, a range shuffle, one pass over the written order columns for the index."""
+        """Store ``df`` as a list: it is computed once, into loose files; their rows are counted and sampled, shuffled by range and written in order; the index
+        takes each file's rows and first row."""
         order = [*order, *(c for c in df.columns if c not in order)]
         base, folder, index = store.manifest(), store.new_folder(name), store.new_folder(f"{name}-index")
-        files = max(1, -(-df.count() // rows_per_file))
-        df.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 2 * rows_per_file).parquet(store.full(folder))
-        written = store.spark.read.schema(df.schema).parquet(store.full(folder))
-        per_file = written.groupBy(F.input_file_name().alias("file")).agg(F.count(F.lit(1)).alias("rows"), F.min(F.struct(*order)).alias("first"))
+        loose = store.full(store.new_folder(f"{name}-loose"))  # named by no manifest: expire() removes it by age
+        df.sortWithinPartitions(*order).write.parquet(loose)  # neighbours that resemble each other are small in the shuffle
+        rows = store.spark.read.schema(df.schema).parquet(loose)
+        files = max(1, -(-rows.count() // rows_per_file))
+        rows.repartitionByRange(files, *order).sortWithinPartitions(*order).write.option("maxRecordsPerFile", 2 * rows_per_file).parquet(store.full(folder))
+        written, file = store.spark.read.schema(df.schema).parquet(store.full(folder)), F.col("_metadata.file_path").alias("file")
+        firsts = written.where("_metadata.row_index = 0").select(file, F.struct(*order).alias("first"))  # files are sorted
+        per_file = written.select(file).groupBy("file").agg(F.count(F.lit(1)).alias("rows")).join(firsts, "file")
         per_file.coalesce(1).write.parquet(store.full(index))
         store.commit({name: folder, f"{name}-index": index}, base, {f"order of {name}": order})
         return cls(store, name)

@@ -27,6 +27,18 @@ def test_names_that_differ_in_case_can_be_written(spark, tmp_path):
     assert spark.conf.get("spark.sql.caseSensitive") == "false"  # the caller's session stays as it is
 
 
+def test_a_list_is_computed_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    df = spark.range(0, 1000, 1, 4).mapInArrow(counted, "id long")
+    pages = PagedList.write(df, ["id"], VersionedStore(spark, str(tmp_path / "s")), "once", rows_per_file=100)
+    assert seen.value == 1000 and [r.id for r in pages.page(995, 10).collect()] == [995, 996, 997, 998, 999]
+
+
 def test_lineitem_is_shuffled_twice(spark):
     """By part and by order; the customers go to the orders."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
