@@ -22,14 +22,26 @@ class AgeHistogram:
 
     def add(self, rows: DataFrame, load: str, sign: int = 1) -> AgeHistogram:
         """Rows without a day have no age and are left out."""
-        if sign not in (1, -1):
+        return self.add_all(rows, {load: (F.lit(True), sign)})
+
+    def add_all(self, rows: DataFrame, loads: dict[str, tuple[Column, int]]) -> AgeHistogram:
+        """Several loads, each the rows that its condition holds for and a sign, from one aggregate over ``rows``, committed together."""
+        if any(sign not in (1, -1) for _, sign in loads.values()):
             raise ValueError("sign must be 1 or -1")
-        base, entry = self.store.manifest(), f"{self.name}-days-{load}"
-        if entry not in base["tables"]:
-            folder = self.store.new_folder(self.name)
-            (rows.where(F.col(self.day).isNotNull()).groupBy(*self.keys, F.col(self.day).cast("date").alias(self.day))
-             .agg((F.count(F.lit(1)) * sign).alias("n")).write.parquet(self.store.full(folder)))
-            self.store.commit({entry: folder}, base)
+        base = self.store.manifest()
+        new = {load: x for load, x in loads.items() if f"{self.name}-days-{load}" not in base["tables"]}
+        if new:
+            cells = (rows.where(F.col(self.day).isNotNull()).groupBy(*self.keys, F.col(self.day).cast("date").alias(self.day))
+                     .agg(*[F.count(F.when(cond, F.lit(1))).alias(f"_n{i}") for i, (cond, _) in enumerate(new.values())]))
+            if len(new) > 1:
+                work = self.store.full(self.store.new_folder(f"{self.name}-work"))  # named by no manifest: expire() removes it by age
+                cells.write.parquet(work)
+                cells = self.store.spark.read.schema(cells.schema).parquet(work)
+            folders = {f"{self.name}-days-{load}": self.store.new_folder(self.name) for load in new}
+            for i, (folder, (_, sign)) in enumerate(zip(folders.values(), new.values())):
+                n = F.col(f"_n{i}")
+                cells.where(n > 0).select(*self.keys, self.day, (n * sign).alias("n")).write.parquet(self.store.full(folder))
+            self.store.commit(folders, base)
         return self
 
     def rows(self) -> DataFrame:
@@ -39,24 +51,29 @@ class AgeHistogram:
             raise ValueError(f"{self.name} has no load yet")
         return self.store.spark.read.parquet(*found)
 
-    def at(self, as_of: dt.date, classes: dict[str, tuple[int | None, int | None]], period: str | None = None,
+    def at(self, as_of: dt.date | list[dt.date], classes: dict[str, tuple[int | None, int | None]], period: str | None = None,
            by: list[str] | None = None, where: Column | None = None) -> DataFrame:
         """``by`` (all keys by default), period_start (where ``period`` is a unit of ``trunc``; the day itself for 'day') and the rows of each class at
-        ``as_of``. A class (lo, hi) holds ages above lo up to hi; None leaves a side open. Groups that no row is left in don't appear."""
+        ``as_of``. A class (lo, hi) holds ages above lo up to hi; None leaves a side open. Groups that no row is left in don't appear.
+        For a list of run dates, ``as_of`` comes first and all of them are counted in one aggregate."""
+        dates = as_of if isinstance(as_of, list) else [as_of]
         rows = self.rows() if where is None else self.rows().where(where)
-        age = F.datediff(F.lit(as_of), F.col(self.day))
         by = list(self.keys if by is None else by)
         start = [] if period is None else [(F.col(self.day) if period == "day" else F.trunc(self.day, period)).alias("period_start")]
 
-        def within(lo, hi):
-            n = F.col("n")
+        def within(date, lo, hi):
+            n, age = F.col("n"), F.datediff(F.lit(date), F.col(self.day))
             if lo is not None:
                 n = F.when(age > lo, n)
             if hi is not None:
                 n = F.when(age <= hi, n)
             return F.coalesce(F.sum(n), F.lit(0)).cast("long")
-        out = rows.groupBy(*by, *start).agg(F.sum("n").alias("n"), *[within(*c).alias(name) for name, c in classes.items()])
-        return out.where("n > 0").drop("n")
+        counts = [within(d, *c).alias(f"_c{i}_{j}") for i, d in enumerate(dates) for j, c in enumerate(classes.values())]
+        out = rows.groupBy(*by, *start).agg(F.sum("n").alias("n"), *counts).where("n > 0")
+        each = [F.struct(F.lit(d).alias("_as_of"), *[F.col(f"_c{i}_{j}").alias(c) for j, c in enumerate(classes)]) for i, d in enumerate(dates)]
+        out = out.select(*by, *(["period_start"] if start else []), F.inline(F.array(*each)))
+        dated = [F.col("_as_of").alias("as_of")] if isinstance(as_of, list) else []
+        return out.select(*dated, *[c for c in out.columns if c != "_as_of"])
 
 
 def classes_of(bounds: list[int], names: list[str]) -> dict[str, tuple[int | None, int | None]]:

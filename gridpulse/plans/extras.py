@@ -247,21 +247,20 @@ def _histogram(spark, name, day):
 
 def _aged(hist, names):
     """A5's and A15's rows at both run dates, of one histogram."""
-    parts = [hist.at(d, classes_of(C.STOCK_AGE_BOUNDS, names), "month").select(F.lit(d).alias("as_of"), *C.MIDIM, "period_start", *names) for d in RUN_DATES]
-    return parts[0].unionByName(parts[1])
+    return hist.at([*RUN_DATES], classes_of(C.STOCK_AGE_BOUNDS, names), "month").select("as_of", *C.MIDIM, "period_start", *names)
 
 
 def _a05_histogram(spark, sf):
     """Stock as what came in less what was installed: two loads."""
     came = bind_meters(spark, sf).where(F.col("didate").isNotNull()).select(*BM._dims(False), "didate", "installedts")
-    hist = _histogram(spark, "stock", "didate").add(came, "received").add(came.where(F.col("installedts").isNotNull()), "installed", -1)
+    hist = _histogram(spark, "stock", "didate").add_all(came, {"received": (F.lit(True), 1), "installed": (F.col("installedts").isNotNull(), -1)})
     return _aged(hist, BM.AGE4)
 
 
 def _a15_histogram(spark, sf):
     due = bind_meters(spark, sf).where(P.sat_not_collected()).select(*BM._dims(False), "sat_date")
     early = F.col("sat_date") < F.lit(dt.date(1995, 6, 1))
-    return _aged(_histogram(spark, "uncollected", "sat_date").add(due.where(early), "early").add(due.where(~early), "late"), BM.AGE4)
+    return _aged(_histogram(spark, "uncollected", "sat_date").add_all(due, {"early": (early, 1), "late": (~early, 1)}), BM.AGE4)
 
 
 def _aged_sql(builder):

@@ -63,3 +63,17 @@ def test_coarser_grains_share_one_exchange(spark):
     out = roll_up(rows, ["k"], "d", {"n": F.count(F.lit(1))})
     out.collect()
     assert shuffled_rows(out) <= 2 * 3000
+
+
+def test_loads_of_one_scan(spark, tmp_path):
+    day = dt.date(2024, 1, 1)
+    df = spark.createDataFrame([("a", day, True), ("a", day, False), ("b", day, True), ("b", None, False), (None, day, False)], "k string, d date, left boolean")
+    one = AgeHistogram(VersionedStore(spark, str(tmp_path / "1")), "h", ["k"], "d").add(df, "in").add(df.where("left"), "out", -1).add(df.where("false"), "none")
+    all_ = AgeHistogram(VersionedStore(spark, str(tmp_path / "2")), "h", ["k"], "d").add_all(
+        df, {"in": (F.lit(True), 1), "out": (F.col("left"), -1), "none": (F.lit(False), 1)})
+    assert sorted(map(str, all_.rows().collect())) == sorted(map(str, one.rows().collect()))
+    dates, classes = [day, dt.date(2024, 3, 1)], {"young": (None, 30), "old": (30, None)}
+    both = all_.at(dates, classes, "month")
+    want = [str((d, *r)) for d in dates for r in one.at(d, classes, "month").collect()]
+    assert both.columns == ["as_of", "k", "period_start", "young", "old"] and sorted(str(tuple(r)) for r in both.collect()) == sorted(want)
+    assert len(named(both, "ShuffleExchangeExec")) == 1  # one aggregate for all run dates
