@@ -54,12 +54,14 @@ def backfill_geo(meters: DataFrame, mapping_raw: DataFrame, usable: DataFrame) -
 
 
 def with_mapping(meters: DataFrame, m: DataFrame) -> DataFrame:
-    """Update-from-join, only where geo is missing and a mapping exists. The mapping has one row per serial; AQE picks
-    the join by its measured size and splits hot serials of the meter side."""
+    """Update-from-join, only where geo is missing and a mapping exists. Rows with all their geo pass by the join, so ``meters`` should be a table:
+    it is read twice. The mapping has one row per serial; AQE picks the join by its measured size and splits hot serials of the meter side."""
+    lacks = P.missing_geo(GEO)
     mp = m.select("meter_serial_number", *[F.col(c).alias(f"_n_{c}") for c in GEO])
-    j = meters.join(mp, F.trim(meters["meterserialnumber"]) == F.col("meter_serial_number"), "left")
-    hit = P.missing_geo(GEO) & F.col("meter_serial_number").isNotNull()
-    return j.select(*[F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in GEO else F.col(c) for c in meters.columns])
+    j = meters.where(lacks).join(mp, F.trim(F.col("meterserialnumber")) == F.col("meter_serial_number"), "left")
+    hit = F.col("meter_serial_number").isNotNull()
+    filled = j.select(*[F.when(hit, F.col(f"_n_{c}")).otherwise(F.col(c)).alias(c) if c in GEO else F.col(c) for c in meters.columns])
+    return meters.where(~lacks).union(filled)
 
 
 def _stats(per_serial: DataFrame, m: DataFrame, mapping_raw: DataFrame) -> DataFrame:

@@ -204,7 +204,7 @@ def _s05_balance(spark, sf):
 
 
 def _s11_rejects(spark, sf):
-    raw = _staged(spark, "mapping", _mapping_raw(bind_meters(spark, sf)))
+    raw = _staged(spark, "mapping", _mapping_raw(_geo_meters(spark, sf)))
     rejects = _quarantined(spark, raw, RJ.mapping_reasons).rejects()
     return rejects.select(F.trim("meter_serial_number").alias("meter_serial_number"), F.array_join("reasons", "; ").alias("reasons"))
 
@@ -390,8 +390,13 @@ def _staged(spark, name: str, df):
     return spark.read.parquet(path)
 
 
+def _geo_meters(spark, sf):
+    """The meter table of M2, bound once: the mapping, its figures and the repair all read it."""
+    return _staged(spark, "meters", bind_meters(spark, sf).select("meterserialnumber", *C.GEO5))
+
+
 def _m02(spark, sf):
-    m = bind_meters(spark, sf).select("meterserialnumber", *C.GEO5)
+    m = _geo_meters(spark, sf)
     raw = _staged(spark, "mapping", _mapping_raw(m))
     return M.backfill_geo(m, raw, S.clean_geo_mapping(raw))
 
@@ -399,8 +404,8 @@ def _m02(spark, sf):
 def _m02_files(spark, sf):
     """The meter table repaired file by file; (files, stats)."""
     m = bind_meters(spark, sf).select("meterserialnumber", *C.GEO5)
-    raw = _staged(spark, "mapping", _mapping_raw(m))
     files = M.MeterFiles(VersionedStore(spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/meter-files-{uuid.uuid4().hex[:12]}")).create(m)
+    raw = _staged(spark, "mapping", _mapping_raw(files.frame()))  # from the written table: the binding isn't computed again
     return files, files.repair(raw, S.clean_geo_mapping(raw))
 
 

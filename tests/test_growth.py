@@ -65,6 +65,32 @@ def test_coarser_grains_share_one_exchange(spark):
     assert shuffled_rows(out) <= 2 * 3000
 
 
+def test_only_rows_without_geo_are_joined(spark, tmp_path):
+    full, none = ("d", "z", "c", "v", "s"), (None,) * 5
+    spark.createDataFrame([(f"A{k}", *full) for k in range(500)] + [("B", *none), (" B ", *none), ("C", *none), (None, *none), ("B", *full)],
+                          f"meterserialnumber string, {GEO}").write.parquet(str(tmp_path / "m"))
+    m = M.dedup_mapping(spark.createDataFrame([("B", "x", *full[1:]), ("A1", "x", *full[1:])], f"meter_serial_number string, {GEO}"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = M.with_mapping(spark.read.parquet(str(tmp_path / "m")), m)
+        got = sorted(map(str, [tuple(r) for r in out.collect()]))
+        want = [(f"A{k}", *full) for k in range(500)] + [("B", "x", *full[1:]), (" B ", "x", *full[1:]), ("C", *none), (None, *none), ("B", *full)]
+        assert got == sorted(map(str, want)) and shuffled_rows(out) < 20
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("name", ["m02_geo_backfill_result", "m02_file_repair_stats", "m02_file_repair_result", "s11_rejects"])
+def test_meters_are_bound_once(spark, monkeypatch, name):
+    """What the queries read after the meter table has been written is the written table."""
+    from gridpulse.plans import extras
+    inputs = []
+    real = extras._mapping_raw
+    monkeypatch.setattr(extras, "_mapping_raw", lambda meters: inputs.extend(meters.inputFiles()) or real(meters))
+    registry.REGISTRY[name][0](spark, SF_SMALL).collect()
+    assert inputs and not any(f.startswith(f"file://{SF_SMALL}") for f in inputs)
+
+
 def test_loads_of_one_scan(spark, tmp_path):
     day = dt.date(2024, 1, 1)
     df = spark.createDataFrame([("a", day, True), ("a", day, False), ("b", day, True), ("b", None, False), (None, day, False)], "k string, d date, left boolean")
