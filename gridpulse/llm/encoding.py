@@ -23,9 +23,13 @@ END_ID = 1
 
 #: Parts kept per worker, in two generations: when the younger is full it becomes the older,
 #: and of the one before only the parts that came up again are left.
-MEMO_PARTS = {BYTE_BPE: 1_600_000, WORD_BPE: 1_600_000, PIECE_BPE: 1_000_000}
+MEMO_PARTS = {BYTE_BPE: 800_000, WORD_BPE: 1_600_000, PIECE_BPE: 200_000}
+#: New parts that are encoded at once: their tokens, before they are ids in the memo, take far more memory than the text.
+LEARN_PARTS = 20_000
 #: Texts are handled in groups of about so many bytes (or characters).
 GROUP_CHARS = 4_000_000
+#: Where every word becomes a Python object, fewer at once.
+SLICE_BYTES = 1_000_000
 
 _MARK = "\x01"
 # White space as the byte vocabulary takes it: Unicode's White_Space (Python's, too, but for \x1c-\x1f). The word vocabulary drops
@@ -74,6 +78,16 @@ def coded_parts(column, white_bytes: bytes = _WHITE, wide: bool = True) -> Itera
         row = end
 
 
+def slices(batch, column: int, most: int = SLICE_BYTES) -> Iterator:
+    """An Arrow batch cut between rows, so that the texts of a slice have about so many bytes, or are one row's."""
+    import pyarrow.compute as pc
+    held = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype="i8") // most
+    cuts = [0, *(np.flatnonzero(np.diff(held)) + 1).tolist(), batch.num_rows]
+    for start, end in zip(cuts[:-1], cuts[1:]):
+        if start < end:
+            yield batch.slice(start, end - start)
+
+
 def vocabulary_path(name: str, folder: str | None = None) -> str:
     """File of a public vocabulary; ``folder`` overrides the installed place."""
     if folder:
@@ -119,7 +133,7 @@ class TextEncoder:
         self.memo, self.older = Memo(), Memo()
         memo_parts = memo_parts or MEMO_PARTS[name]
         self.memo_parts = memo_parts
-        self.learn = {BYTE_BPE: self._learn_bytes, WORD_BPE: self._learn_words, PIECE_BPE: self._learn_pieces}[name]
+        self.name = name
         self.white, self.wide = (_WHITE, True) if name == BYTE_BPE else (_WORD_WHITE, False)
         if name == PIECE_BPE:  # each word alone, as after a space
             from sentencepiece import SentencePieceProcessor
@@ -138,6 +152,12 @@ class TextEncoder:
         else:
             self.mark_id, = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
 
+    def learn(self, parts: list) -> None:
+        """Distinct new parts go to the memo."""
+        learn = {BYTE_BPE: self._learn_bytes, WORD_BPE: self._learn_words, PIECE_BPE: self._learn_pieces}[self.name]
+        for k in range(0, len(parts), LEARN_PARTS):
+            learn(parts[k:k + LEARN_PARTS])
+
     def _ids(self, text: str) -> np.ndarray:
         return np.asarray(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
@@ -203,8 +223,7 @@ class TextEncoder:
             ids, ends = older.gather(older.places(again))
             memo.add(again, ids, np.diff(ends))
             new = [p for p in new if p not in older.at]
-        if new:
-            self.learn(new)
+        self.learn(new)
         return memo.places(parts)
 
 
@@ -212,8 +231,9 @@ _ENCODERS: dict[tuple, TextEncoder] = {}
 
 
 def encoder(name: str, folder: str | None = None) -> TextEncoder:
-    """The worker's encoder of this vocabulary, kept between tasks."""
+    """The worker's encoder of this vocabulary, kept between tasks until another vocabulary is asked for: Spark hands a worker on to other operators."""
     key = (name, folder)
     if key not in _ENCODERS:
+        _ENCODERS.clear()
         _ENCODERS[key] = TextEncoder(name, folder)
     return _ENCODERS[key]

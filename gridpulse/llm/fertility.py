@@ -10,13 +10,14 @@ from __future__ import annotations
 import base64
 import math
 import unicodedata
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import run_folder, schema
-from .encoding import PIECE_BPE, encoder, vocabulary_path, words_of
+from .encoding import PIECE_BPE, encoder, slices, vocabulary_path, words_of
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 WINDOW = 5
@@ -133,7 +134,7 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
         import pyarrow as pa
         pieces, multi = encoder(PIECE_BPE, tokenizers), _multi(tokenizers)
         first = pieces.pieces.piece_to_id("<0x00>")
-        for batch in batches:
+        for batch in chain.from_iterable(slices(b, 1) for b in batches):
             texts = [t.as_py() or "" for t in batch.column(1)]
             words, out = [words_of(t) for t in texts], []
             for t, w, l, raw in zip(texts, words, batch.column(2).to_pylist(), pieces.encode_words(words)):
@@ -147,7 +148,7 @@ def quality(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text
                 reason = "base" if failed else verdict(bands[l] if l in bands else bands.get(main_script(t), bands[""]), slack, n, per_token, share, bits)
                 out.append((*base, n, per_token, share, bits, failed, reason, reason is None))
             kinds = [pa.int64()] * 6 + [pa.float64()] * 3 + [pa.bool_(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 12, kinds)), *batch.columns[3:]],
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*out), kinds)), *batch.columns[3:]],
                                              names=["doc_id", *(x.split(" ")[0] for x in FIGURES.split(", ")), *batch.schema.names[3:]])
 
     return rows.mapInArrow(measured, out_schema)
